@@ -168,8 +168,6 @@ class WordEncoder:
         return low
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
         if len(self.forms) > MEMO_WORDS // 2:
             self.forms.clear()
         split: dict[str, tuple[str, str]] = {}
@@ -192,6 +190,9 @@ class WordEncoder:
                 out += self._ids([t])
                 continue
             unknown = set(w).difference(self.memo)
+            if len(self.memo) + len(unknown) > MEMO_WORDS:
+                self.memo.clear()
+                unknown = set(w)
             if unknown:
                 self._learn(unknown)
             out.append(b"".join(map(self.memo.__getitem__, w)))
