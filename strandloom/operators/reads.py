@@ -395,8 +395,8 @@ def downsample(reads: DataFrame, *, trigger: int = 1000, target: int = 500, keys
     x = per_left(reads.withColumn("_order", F.xxhash64("name", "start_pos", "end_pos") if order is None else order), regions,
                  {"_deep": F.count("r") > 0}, on=keys)
     hot = x.where("_deep")
-    # positions at which the ranking can change are the begins of reads; a read is ranked at those it covers
-    cells = hot.select(*keys, col("start_pos").alias("pos")).distinct()
+    # the reads over a position change only where one begins or ends; a read is ranked at each such position it covers
+    cells = hot.select(*keys, F.explode(F.array("start_pos", "end_pos")).alias("pos")).distinct()
     pos = cells.withColumn("start_pos", col("pos")).withColumn("end_pos", col("pos") + 1)
     from .interval import interval_join
 

@@ -63,11 +63,12 @@ def read_region_file(spark: SparkSession, path: str, contig_sizes: Mapping[str,
     row = F.struct(name.alias("contig"), F.least(cells[1].try_cast("bigint"), size).alias("start_pos"),
                    F.least(F.coalesce(F.get(cells, F.lit(2)).try_cast("bigint"), size), size).alias("end_pos"))
     own = parse_regions(F.col("value"), size)
+    whole = F.trim("value") == name
+    own = F.when(whole, F.struct(name.alias("contig"), F.lit(0).cast("bigint").alias("start_pos"), size.alias("end_pos"))).otherwise(own)
     if one_based:
-        whole = F.trim("value") == name
         own = F.when(whole, own).otherwise(F.struct(own["contig"].alias("contig"), (own["start_pos"] - 1).alias("start_pos"), (own["end_pos"] - 1).alias("end_pos")))
     region = F.when(bed, row).otherwise(own)
-    good = size.isNotNull() & region.isNotNull() & region["start_pos"].isNotNull() & (region["end_pos"] >= region["start_pos"])
+    good = size.isNotNull() & region.isNotNull() & (region["contig"] == name) & region["start_pos"].isNotNull() & (region["end_pos"] >= region["start_pos"])
     if strict:
         region = F.when(F.coalesce(good, F.lit(False)), region).otherwise(F.raise_error(F.concat(F.lit("malformed region: "), F.col("value"))))
         return lines.select(region.alias("r")).select("r.*")

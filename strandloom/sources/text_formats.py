@@ -113,7 +113,7 @@ def sam_lines(reads: DataFrame) -> DataFrame:
     quals = F.when(F.size("quals") == 0, "*").otherwise(F.array_join(F.transform("quals", lambda q: F.char(q + 33)), ""))
     tags = F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat(e["key"], F.lit(":Z:"), e["value"]))
     mate = F.coalesce(F.when(col("mate.contig") == col("contig"), F.lit("=")).otherwise(col("mate.contig")), F.lit("*"))
-    cells = ["name", flag.cast("string"), "contig", (col("start_pos") + front + 1).cast("string"), col("mq").cast("string"), F.coalesce(F.nullif(C.to_text(col("cigar")), F.lit("")), F.lit("*")), mate,
+    cells = ["name", flag.cast("string"), "contig", F.when(col("contig") == "*", "0").otherwise((col("start_pos") + front + 1).cast("string")), col("mq").cast("string"), F.coalesce(F.nullif(C.to_text(col("cigar")), F.lit("")), F.lit("*")), mate,
              F.coalesce(col("mate.begin") + 1, F.lit(0)).cast("string"), F.coalesce("mate.tlen", F.lit(0)).cast("string"), F.when(col("seq") == "", "*").otherwise(col("seq")), quals]
     return reads.select(F.concat_ws("\t", *cells, F.array_join(tags, "\t")).alias("_l")).select(F.regexp_replace("_l", r"\t$", "").alias("line"))
 
@@ -178,7 +178,8 @@ def write_vcf(records: DataFrame, path: str, samples: list[str], contig_sizes: M
         cells.append(F.array_join(F.concat(F.array(F.lit("GT")), keys), ":"))
         for s in samples:
             v = F.element_at("samples", F.lit(s))
-            gt = F.array_join(F.transform(v["gt"], lambda g: F.coalesce(g.cast("string"), F.lit("."))), F.when(v["phased"], "|").otherwise("/"))
+            alleles = F.transform(v["gt"], lambda g: F.coalesce(g.cast("string"), F.lit(".")))
+            gt = F.when(v["phased"], F.array_join(alleles, "|")).otherwise(F.array_join(alleles, "/"))
             own = _format_values(keys, v["fmt"])
             cells.append(F.array_join(F.concat(F.array(gt), own), ":"))
     head = "\n".join(["##fileformat=VCFv4.3", *header, *[f"##contig=<ID={k},length={v}>" for k, v in contig_sizes.items()],
