@@ -16,6 +16,8 @@ manifest, never over documents.
 from __future__ import annotations
 
 import io
+import itertools
+import re
 import struct
 import unicodedata
 import uuid
@@ -35,8 +37,10 @@ END_ID = 2
 #: Ids in one file, about: a task holds no more than one file's ids.
 FILE_TOKENS = 4_000_000
 TOKENIZER = "word_bpe_49k.json"
+#: Tasks that read files at most.
+READ_TASKS = 10_000
 #: Words whose ids a worker remembers.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 900_000
 
 
 class DacArray:
@@ -145,58 +149,59 @@ class TokenFile:
 class WordEncoder:
     """Encodes texts with a tokenizer whose pieces never cross white space, word by word with a memo.
 
-    The ids equal those of the library on the whole text.  Texts with added-token marks or control
-    separators, which the word split could treat differently, go to the library whole.
+    The ids equal those of the library on the whole text.  Texts are first brought to a form with fewer different
+    words and the same ids: in lower case, a full stop or comma behind a word set apart.  Texts with added-token
+    marks or control separators, which the word split could treat differently, go to the library whole.
     """
 
+    #: A full stop or comma between a letter or number and white space is a piece of its own.
+    _APART = re.compile(r"[.,](?=\s|\Z)(?<=[^\W_].)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
-        self.forms: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of pieces that end a word
+        for piece, i in vocabulary.items():
+            self.closing[i] = piece.endswith("</w>")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _form(self, word: str) -> str:
-        low = word.lower()
-        if low != word and (len(low) != len(word) or "Σ" in word or not word.isascii() and not (
-                unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low))):
-            return word
-        return low
-
     def _learn(self, words: set[str]) -> None:
-        if len(self.forms) > MEMO_WORDS // 2:
-            self.forms.clear()
-        split: dict[str, tuple[str, str]] = {}
-        for w in words:
-            # a final full stop or comma after a letter is a piece of its own
-            tail = w[-1] if w[-1] in ".," and len(w) > 1 and w[-2].lower().isalpha() else ""
-            split[w] = self._form(w[:-1] if tail else w), tail
-        new = list({f for pair in split.values() for f in pair if f and f not in self.forms})
-        self.forms.update(zip(new, self._ids(new)))
-        forms = self.forms
-        self.memo.update((w, forms[f] + forms[t] if t else forms[f]) for w, (f, t) in split.items())
+        """Remember the ids of each word.  Words of letters alone are one piece sequence each, so that many are
+        encoded as one text and cut behind the pieces that end a word."""
+        plain = [w for w in words if w.isalpha() and w.lower().isalpha()]
+        odd = list(words.difference(plain))
+        groups = [plain[i:i + 128] for i in range(0, len(plain), 128)]
+        for group, raw in zip(groups, self._ids([" ".join(g) for g in groups])):
+            cuts = ((np.flatnonzero(self.closing[np.frombuffer(raw, "<u4")]) + 1) * 4).tolist()
+            if len(cuts) != len(group) or cuts[-1] != len(raw):
+                odd += group
+                continue
+            self.memo.update(zip(group, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
+        self.memo.update(zip(odd, self._ids(odd)))
+
+    def _plain(self, text: str) -> str:
+        low = text.lower()
+        if not low.isascii() and (len(low) != len(text) or "Σ" in text or not (
+                unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low))):
+            return text
+        return self._APART.sub(r" \g<0>", low)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        whole = [any(a in t for a in self.added) or any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        words = [None if odd else t.split() for t, odd in zip(texts, whole)]
-        out: list[bytes] = []
-        for t, w in zip(texts, words):
-            if w is None:
-                out += self._ids([t])
-                continue
-            unknown = set(w).difference(self.memo)
-            if len(self.memo) + len(unknown) > MEMO_WORDS:
-                self.memo.clear()
-                unknown = set(w)
-            if unknown:
-                self._learn(unknown)
-            out.append(b"".join(map(self.memo.__getitem__, w)))
-        return out
+        words = [None if any(a in t for a in self.added) or any(c in t for c in "\x1c\x1d\x1e\x1f") else self._plain(t).split() for t in texts]
+        unknown = set(itertools.chain.from_iterable(w for w in words if w)).difference(self.memo)
+        if len(self.memo) + len(unknown) > MEMO_WORDS:
+            self.memo.clear()
+            unknown = set(itertools.chain.from_iterable(w for w in words if w))
+        self._learn(unknown)
+        get = self.memo.__getitem__
+        return [self._ids([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -293,7 +298,8 @@ def read_tokens(manifest: DataFrame, *, folder: str) -> DataFrame:
                     pa.array(f.doc_ids, mask=~f.known), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = manifest.select("path", "base").repartition("path")
+    files = manifest.select("path", "base")
+    files = files.repartition(max(1, min(files.count(), READ_TASKS)), "path")
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
