@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +90,8 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def own_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Only the named columns, so that further columns cannot clash with ours."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def without_ids(docs: DataFrame, lost: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows whose id is in ``lost`` (column ``doc_id``); all columns stay, rows with a null id too."""
+    table = materialize(lost.select(F.col("doc_id").alias("key"), F.lit(True).alias("lost")).where("key is not null").distinct(), "lost")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("key"))
+    return with_lookup(packed, table, "key", table.count(), 24).where("lost is null").select("row.*")

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, with_lookup
+from .common import small_batches, without_ids
 
 #: Words in a tile at least, and the share of an item's words in tiles that makes a document contaminated.
 MIN_TILE, COVERAGE = 5, 0.5
@@ -221,7 +221,5 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without contaminated documents, with all columns."""
-    lost = materialize(contaminations(docs, benchmark, id_col, text_col, **options).select("doc_id").distinct(), "leaks")
-    table = lost.select(F.col("doc_id").alias("_key"), F.lit(True).alias("_lost"))
-    x = with_lookup(docs.withColumn("_key", F.col(f"`{id_col}`").cast("long")), table, "_key", lost.count(), 24)
-    return x.where("_lost is null").select(*[F.col(f"`{c}`") for c in docs.columns])
+    lost = contaminations(docs, benchmark, id_col, text_col, **options)
+    return without_ids(docs, lost, id_col)

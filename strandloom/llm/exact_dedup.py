@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import heavy_lookup, materialize
+from .common import heavy_lookup, materialize, without_ids
 
 #: Bits in one bitmap built by Spark's bitmap functions.
 BITMAP_BITS = 32768
@@ -85,5 +85,4 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    lost = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, F.col(f"`{id_col}`") == F.col("_lost"), "left_anti")
+    return without_ids(docs, exact_duplicates(docs, id_col, text_col).where(~F.col("kept")), id_col)

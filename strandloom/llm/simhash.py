@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import heavy_lookup, materialize, small_batches, with_lookup
+from .common import heavy_lookup, materialize, small_batches, with_lookup, without_ids
 from .components import components
 
 SEED = 42
@@ -328,8 +328,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all columns, that stay: of each group the one with the smallest id."""
-    lost = materialize(near_duplicates(docs, id_col, text_col, **options).where("doc_id != component_id")
-                       .select("doc_id").distinct(), "dropped")
-    table = lost.select(F.col("doc_id").alias("_key"), F.lit(True).alias("_lost"))
-    x = with_lookup(docs.withColumn("_key", F.col(f"`{id_col}`").cast("long")), table, "_key", lost.count(), 24)
-    return x.where("_lost is null").select(*[F.col(f"`{c}`") for c in docs.columns])
+    lost = near_duplicates(docs, id_col, text_col, **options).where("doc_id != component_id")
+    return without_ids(docs, lost, id_col)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, with_lookup
+from .common import materialize, small_batches, without_ids
 
 #: Labelled rows the classifier is fitted on at most.
 SAMPLE = 12_000
@@ -346,7 +346,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with a score below 0.5, with all columns."""
-    lost = materialize(toxicity(docs, labels, id_col, text_col, **options).where("predicted = 1").select("doc_id").distinct(), "toxic")
-    table = lost.select(F.col("doc_id").alias("_key"), F.lit(True).alias("_lost"))
-    x = with_lookup(docs.withColumn("_key", F.col(f"`{id_col}`").cast("long")), table, "_key", lost.count(), 24)
-    return x.where("_lost is null").select(*[F.col(f"`{c}`") for c in docs.columns])
+    lost = toxicity(docs, labels, id_col, text_col, **options).where("predicted = 1")
+    return without_ids(docs, lost, id_col)
