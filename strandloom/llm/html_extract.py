@@ -161,7 +161,10 @@ def weights_from(counts: dict[str, tuple[float, float, float]]) -> dict[str, flo
     wall = word * (counts["word"][2] + 1)
     out = {**DEFAULT_WEIGHTS, "word": word, "tag": -wall}
     for k, c in counts.items():
-        if k != "word":
+        if k.startswith("skip:"):
+            # its words are no tokens, so that crossing it gains nothing but what stands behind it
+            out[k] = max(-2 * word, min(-0.01, odds[k]))
+        elif k != "word":
             rare = c[0] < 0.001 * (c[0] + c[1])
             out[k] = -wall - abs(odds[k]) if rare else min(-0.01, odds[k])
     return out
@@ -175,7 +178,7 @@ def best_region(toks: list[tuple[str, str, int]], weights: dict[str, float]) ->
         if kind == "text":
             w = word * len(x.split())
         else:
-            w = weights.get(_class(kind, x), other)
+            w = weights.get(_class(kind, x), -word if kind == "skip" else other)
             if kind == "skip" and x.split("\0", 1)[0] in _RAW_END:
                 w = -0.01
         if score <= 0:
