@@ -143,14 +143,17 @@ def _islands(src: str, new: str) -> str:
     return _ISLANDS.format(src=src, new=new)
 
 
-_N = {"n": F.count(F.lit(1))}
-register("covered_regions", lambda t: I.covered_regions(t("sites"), aggs=_N), _islands("sites", "start_pos > reach") +
+def _n():
+    return {"n": F.count(F.lit(1))}
+
+
+register("covered_regions", lambda t: I.covered_regions(t("sites"), aggs=_n()), _islands("sites", "start_pos > reach") +
          "SELECT contig, start_pos, end_pos, n FROM islands", ("sites",))
-register("covered_regions_reads", lambda t: I.covered_regions(t("reads"), ["contig"], aggs=_N), _islands("reads", "start_pos > reach") +
+register("covered_regions_reads", lambda t: I.covered_regions(t("reads"), ["contig"], aggs=_n()), _islands("reads", "start_pos > reach") +
          "SELECT contig, start_pos, end_pos, n FROM islands", ("reads",))
-register("mutually_exclusive_regions", lambda t: I.mutually_exclusive_regions(t("calls"), aggs=_N),
+register("mutually_exclusive_regions", lambda t: I.mutually_exclusive_regions(t("calls"), aggs=_n()),
          _islands("calls", "start_pos > reach OR (start_pos = reach AND start_pos < end_pos)") + "SELECT contig, start_pos, end_pos, n FROM islands", ("calls",))
-register("join_within_gap", lambda t: I.islands(t("sites"), gap=20, aggs=_N), _islands("sites", "start_pos > reach + 20") +
+register("join_within_gap", lambda t: I.islands(t("sites"), gap=20, aggs=_n()), _islands("sites", "start_pos > reach + 20") +
          "SELECT contig, start_pos, end_pos, n FROM islands", ("sites",))
 register("intervening_regions", lambda t: I.intervening_regions(t("sites")), _islands("sites", "start_pos > reach") + """
 SELECT contig, end_pos AS start_pos, nxt AS end_pos FROM (SELECT *, lead(start_pos) OVER (PARTITION BY contig ORDER BY start_pos) AS nxt FROM islands) WHERE nxt IS NOT NULL""", ("sites",))
