@@ -38,7 +38,8 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
               "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "¡": "i", "*": "aeiou", "#": "h"}
 _MARKS = set("._-~^*'’`·•/\\|,:;​‌‍\xad")
 _EDGE = ".,;:?\"'()[]{}«»“”„…!-_*~"
-_MEMO_WORDS = 700_000
+#: Words whose weight a worker remembers; different words whose characters wait to be counted.
+_MEMO_WORDS, _HELD_WORDS = 400_000, 100_000
 _START, _STOP = "\x02", "\x03"
 #: Log-cost of one disguise.
 _SWAP, _DROP, _REPEAT = -1.5, -1.0, -0.5
@@ -210,7 +211,7 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 text = t.as_py()
                 if text:
                     words.update(w.strip(_EDGE) for w in text.lower().split())
-            if len(words) > 400_000:
+            if len(words) > _HELD_WORDS:
                 spill()
         spill()
         mask = (1 << 21) - 1
