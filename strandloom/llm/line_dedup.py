@@ -110,13 +110,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     runs = repeated_runs(docs, id_col, text_col)
     per_doc = materialize(runs.distinct().groupBy(*DOC).agg(F.collect_list(F.struct("ln", "n")).alias("_runs")), "runs-by-doc")
-    n = per_doc.count()
+    # a document may have many runs, so the size of the lookup table counts them
+    size = per_doc.agg(F.coalesce(F.sum(100 + 24 * F.size("_runs")), F.lit(0)).alias("bytes")).first()["bytes"]
     cols = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed", "removed")]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), text.alias("_text"),
                          F.struct(*_doc_key(id_col, text_col)).alias("_key"))
     table = per_doc.select(F.struct(*DOC).alias("_key"), "_runs")
-    x = with_lookup(packed, table, "_key", n, 200)
+    x = with_lookup(packed, table, "_key", size, 1)
     words = F.transform(F.col("_lines"), _words)
     long_runs = F.filter(F.col("_runs"), lambda r: F.aggregate(
         F.slice(F.col("_words"), r["ln"] + 1, r["n"]), F.lit(0), lambda a, b: a + b) >= min_words)
