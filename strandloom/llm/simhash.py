@@ -36,7 +36,7 @@ SEED = 42
 #: Members of a shard's chunk.
 CHUNK = 8192
 #: Query-node pairs that a search looks at together.
-FRONTIER = 1 << 21
+FRONTIER = 1 << 18
 #: Bands and minimum hashes a band of :func:`near_duplicates`: finds a pair of similarity 0.8 with 99.7 %.
 BANDS, BAND_ROWS = 8, 3
 #: Radius for proposals: at similarity 0.8 the expected distance is 9.7 bits, its deviation 2.9.
@@ -163,14 +163,13 @@ def shard_links(shard: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(load, (load[lo - 1] if lo else 0) + FRONTIER)))
-        label = None
         for q, m in forest.search(np.arange(lo, hi), radius):
-            if sets is None:
-                # drop pairs that are joined already before the loop
-                label = np.fromiter((_find(up, i) for i in range(n)), np.int64, n) if n < 4 * len(q) else None
-                if label is not None:
-                    pairs = np.unique(np.stack([label[q], label[m]], 1), axis=0)
-                    q, m = pairs[:, 0], pairs[:, 1]
+            once = q < m  # every point is a query, so that each pair is met from its first point
+            q, m = q[once], m[once]
+            if len(q) > 1000:  # drop pairs that are joined already
+                label = np.fromiter((_find(up, i) for i in range(n)), np.int64, n)
+                apart = label[q] != label[m]
+                q, m = q[apart], m[apart]
             for a, b in zip(q.tolist(), m.tolist()):
                 ra, rb = _find(up, a), _find(up, b)
                 if ra != rb and (sets is None or jaccard(sets[a], sets[b]) >= similarity):
