@@ -33,6 +33,8 @@ TRIGRAMS = 60_000
 #: Lexicon entries at most, by evidence.
 LEXICON = 20_000
 PREFIXES = (4, 5)
+#: Share of toxic texts taken to be without known evidence, beyond those counted.
+UNSEEN = 0.02
 #: What a sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a",
               "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "¡": "i", "*": "aeiou", "#": "h"}
@@ -297,7 +299,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             weights[f] = llr
     keep = sorted(weights, key=lambda f: (-weights[f], f))[:LEXICON]
     model = Model(chars, {f: weights[f] for f in keep}, 0.0)
-    model.bias = math.log((_count_missed(toxic, model) + 0.5) / (n_neg + 1))
+    # a share of toxic texts may show no known evidence even if no training row does
+    model.bias = math.log((_count_missed(toxic, model) + UNSEEN * n_pos + 0.5) / (n_neg + 1))
     return model
 
 
