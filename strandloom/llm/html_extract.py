@@ -152,12 +152,17 @@ def count_page(page: str, counts: dict[str, list[float]]) -> None:
 
 
 def weights_from(counts: dict[str, tuple[float, float, float]]) -> dict[str, float]:
-    """Token weights: log-odds of inside against outside; words at least 0.1, tags at most -0.01."""
+    """Token weights: log-odds of inside against outside; words at least 1, tags at most -0.01.
+
+    Words are compared with tags, and tags among themselves, so that long articles do not make every tag look rare.
+    """
     if not counts or "word" not in counts or not counts["word"][0]:
         return dict(DEFAULT_WEIGHTS)
-    n_in, n_out = (sum(c[i] for c in counts.values()) + len(counts) for i in (0, 1))
-    odds = {k: math.log((c[0] + 1) / n_in) - math.log((c[1] + 1) / n_out) for k, c in counts.items()}
-    word = max(0.1, odds["word"])
+    tags = {k: c for k, c in counts.items() if k != "word"}
+    t_in, t_out = (sum(c[i] for c in tags.values()) + len(tags) + 1 for i in (0, 1))
+    odds = {k: math.log((c[0] + 1) / t_in) - math.log((c[1] + 1) / t_out) for k, c in tags.items()}
+    w_in, w_out = counts["word"][0] + 1, counts["word"][1] + 1
+    word = max(1.0, math.log(w_in / (w_in + t_in)) - math.log(w_out / (w_out + t_out)))
     wall = word * (counts["word"][2] + 1)
     out = {**DEFAULT_WEIGHTS, "word": word, "tag": -wall}
     for k, c in counts.items():
