@@ -32,23 +32,29 @@ def interval_join(left: DataFrame, right: DataFrame, *, on: Sequence[str] = ("co
     The predicate must imply that the regions overlap or touch.  ``left`` gives every left row at least once,
     with ``r`` null in bins without a partner: aggregate it with :func:`per_left`.
     """
-    a = left.select(F.struct("*").alias("l")).withColumn("_bin", F.explode(bins(R.Region.of("l"), width)))
-    b = right.select(F.struct("*").alias("r")).withColumn("_bin_r", F.explode(bins(R.Region.of("r"), width)))
-    x, y = R.Region.of("l"), R.Region.of("r")
+    # flat columns up to the end, so that only those that are used are read and shuffled
+    a = left.select(*[F.col(f"`{c}`").alias(f"_l_{c}") for c in left.columns])
+    b = right.select(*[F.col(f"`{c}`").alias(f"_r_{c}") for c in right.columns])
+    x, y = (R.Region(F.col(f"{p}start_pos"), F.col(f"{p}end_pos")) for p in ("_l_", "_r_"))
+    a = a.withColumn("_bin", F.explode(bins(x, width)))
+    b = b.withColumn("_bin_r", F.explode(bins(y, width)))
     once = F.col("_bin") == F.greatest(F.floor(x.begin / width), F.floor(y.begin / width))
     keys = F.lit(True)
     for k in on:
-        keys = keys & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    test = keys & (F.col("_bin") == F.col("_bin_r")) & once & predicate(x, y)
-    return a.join(b, test, how).select("l", "r")
+        keys = keys & (F.col(f"_l_{k}") == F.col(f"_r_{k}"))
+    pairs = a.join(b, keys & (F.col("_bin") == F.col("_bin_r")) & once & predicate(x, y), how)
+    own = F.struct(*[F.col(f"_l_{c}").alias(c) for c in left.columns])
+    other = F.struct(*[F.col(f"_r_{c}").alias(c) for c in right.columns])
+    return pairs.select(own.alias("l"), (other if how == "inner" else F.when(F.col("_bin_r").isNotNull(), other)).alias("r"))
 
 
 def per_left(left: DataFrame, right: DataFrame, aggs: dict[str, Column], **options) -> DataFrame:
     """Every left row once, with aggregates over its partners (columns ``l`` and ``r``; ``r`` is null without partner)."""
     own = left.withColumn(_ID, F.monotonically_increasing_id())
     x = interval_join(own, right, how="left", **options)
-    out = x.groupBy(F.col(f"l.{_ID}").alias(_ID)).agg(F.first("l").alias("l"), *[c.alias(k) for k, c in aggs.items()])
-    return out.select("l.*", *aggs).drop(_ID)
+    # one aggregate a column, so that unused ones are pruned
+    kept = [F.first(F.col(f"l.`{c}`")).alias(c) for c in left.columns if c not in aggs]
+    return x.groupBy(F.col(f"l.{_ID}").alias(_ID)).agg(*kept, *[c.alias(k) for k, c in aggs.items()]).drop(_ID)
 
 
 def copy_overlapped(left: DataFrame, right: DataFrame, **options) -> DataFrame:
