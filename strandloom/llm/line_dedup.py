@@ -8,8 +8,11 @@ suffixes that still share their first 2^k lines with another, i.e. the
 longest-common-prefix intervals of depth 2^k, each with its first occurrence.
 
 For every suffix that is not the first of its deepest interval, the common prefix
-with that interval's first suffix is measured by descending the levels.  This is a
-maximal repeated run; if it has ``min_words`` words its lines go from the later copy.
+with that interval's first suffix is measured by descending the levels.  Where a third
+copy could share more lines, the longest prefix that has any earlier copy is found by
+halving between 2^k and 2^(k+1) lines: a block of such a length is the pair of ranks of
+its first and last 2^k lines, and has an earlier copy if the pair occurs before.  This is
+a maximal repeated run; if it has ``min_words`` words its lines go from the later copy.
 """
 
 from __future__ import annotations
@@ -51,21 +54,59 @@ def _level(blocks: DataFrame, key: str, total: int) -> DataFrame:
     groups = blocks.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*DOC, "ln")).alias("first")).where("n > 1")
     ranked = materialize(_ranked(groups, key), "ranks")
     out = heavy_lookup(blocks, ranked, key, "n", total)
-    return materialize(out.select(*DOC, "ln", "r", "first"), "level")
+    return materialize(out.select(*DOC, "ln", "size", "r", "first", "n"), "level")
+
+
+def _refined(levels: list[DataFrame], later: DataFrame, runs: DataFrame) -> DataFrame | None:
+    """Longest runs with any earlier copy, ``d, h, ln, n``, of suffixes whose run may pass those of ``runs``.
+
+    A suffix of depth ``k`` is left out if its interval has two members (one earlier copy, measured
+    already), or if its 2^(k+1) - 1 lines or the end of its document lie within runs at or before it.
+    """
+    width = F.call_function("shiftleft", F.lit(1), F.col("k"))
+    span = W.partitionBy(*DOC).orderBy("ln").rowsBetween(W.unboundedPreceding, W.currentRow)
+    known = runs.groupBy(*DOC, "ln").agg(F.max("n").alias("known"))
+    open_ = (later.join(known, [*DOC, "ln"], "left").withColumn("covered", F.max(F.col("ln") + F.col("known")).over(span))
+             .where((F.col("k") > 0) & (F.col("copies") > 2)
+                    & (F.least(F.col("ln") + 2 * width - 1, F.col("size")) > F.coalesce("covered", F.lit(0))))
+             .select(*DOC, "ln", "k", "r", width.alias("n")))
+    open_ = materialize(open_, "open")
+    if open_.isEmpty():
+        return None
+    groups = open_.select("k", "r").distinct()
+    ranks = None
+    for k, level in enumerate(levels[1:], 1):
+        own = level.select(*DOC, "ln", F.lit(k).alias("k"), "r")
+        ranks = own if ranks is None else ranks.unionByName(own)
+    peers = materialize(ranks.join(groups, ["k", "r"], "left_semi").distinct(), "peers")
+    ranks = materialize(ranks.join(peers.select(*DOC, "k").distinct(), [*DOC, "k"], "left_semi").distinct(), "ranks-of-peers")
+    ahead = ranks.select(*DOC, "k", F.col("ln").alias("at"), F.col("r").alias("r2"))
+    block = ["k", "r", "m", "r2"]
+    for j in range(len(levels) - 2, -1, -1):
+        tests = open_.where(F.col("k") > j).withColumn("m", F.col("n") + (1 << j))
+        at = (F.col("ln") + F.col("m") - width).alias("at")
+        blocks = (peers.join(tests.select("k", "r", "m").distinct(), ["k", "r"]).select(*DOC, "ln", "k", "r", "m", at)
+                  .join(ahead, [*DOC, "k", "at"]).groupBy(*block).agg(F.min(F.struct(*DOC, "ln")).alias("first")))
+        found = (tests.select("*", at).join(ahead, [*DOC, "k", "at"]).join(blocks, block)
+                 .where(F.col("first") < F.struct(*DOC, "ln")).select(*DOC, "ln", F.lit(1 << j).alias("more")))
+        open_ = materialize(open_.join(found, [*DOC, "ln"], "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0)))
+                            .drop("more"), "open")
+    return open_.select(*DOC, "ln", "n")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Later copies of maximal repeated runs: ``d, h`` (document), ``ln`` (first line, from 0), ``n`` (lines), ``first``."""
+    """Later copies of maximal repeated runs: ``d, h`` (document), ``ln`` (first line, from 0), ``n`` (lines)."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     lines = materialize(
-        docs.select(*_doc_key(id_col, text_col), F.posexplode(_lines(text)).alias("ln", "line"))
-        .select(*DOC, "ln", F.unhex(F.md5("line")).alias("key")), "lines")
+        docs.select(*_doc_key(id_col, text_col), _lines(text).alias("lines"))
+        .select(*DOC, F.size("lines").alias("size"), F.posexplode("lines").alias("ln", "line"))
+        .select(*DOC, "ln", "size", F.unhex(F.md5("line")).alias("key")), "lines")
     levels = [_level(lines, "key", lines.count())]
     while True:
         here, step = levels[-1], 1 << (len(levels) - 1)
         ahead = W.partitionBy(*DOC).orderBy("ln").rangeBetween(step, step)
         pairs = (here.withColumn("next", F.first("r").over(ahead)).where("next is not null")
-                 .select(*DOC, "ln", F.struct("r", "next").alias("key")))
+                 .select(*DOC, "ln", "size", F.struct("r", "next").alias("key")))
         pairs = materialize(pairs, "pairs")
         total = pairs.count()
         if total < 2:
@@ -77,13 +118,14 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     later = None
     for k, level in enumerate(levels):
-        own = level.where(F.struct(*DOC, "ln") != F.col("first")).select(*DOC, "ln", F.struct(F.lit(k).alias("k"), "first").alias("deep"))
+        own = level.where(F.struct(*DOC, "ln") != F.col("first")).select(*DOC, "ln", F.struct(
+            F.lit(k).alias("k"), "first", "r", F.col("n").alias("copies"), "size").alias("deep"))
         later = own if later is None else later.unionByName(own)
-    later = later.groupBy(*DOC, "ln").agg(F.max("deep").alias("deep")).select(*DOC, "ln", "deep.k", "deep.first")
+    later = materialize(later.groupBy(*DOC, "ln").agg(F.max("deep").alias("deep")).select(*DOC, "ln", "deep.*"), "later")
     before = F.lag(F.struct("ln", "first")).over(W.partitionBy(*DOC).orderBy("ln"))
     same = ((F.col("b.ln") == F.col("ln") - 1) & (F.col("b.first.d") == F.col("first.d")) & (F.col("b.first.h") == F.col("first.h"))
             & (F.col("b.first.ln") == F.col("first.ln") - 1))
-    runs = (later.withColumn("b", before).where(~F.coalesce(same, F.lit(False))).drop("b")
+    runs = (later.withColumn("b", before).where(~F.coalesce(same, F.lit(False))).select(*DOC, "ln", "k", "first")
             .withColumn("n", F.call_function("shiftleft", F.lit(1), F.col("k"))))
     runs = materialize(runs, "runs")
     for k in range(len(levels) - 2, -1, -1):
@@ -95,7 +137,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         grown = (open_.join(mine, [*DOC, "at"], "left").join(theirs, ["fd", "fh", "fat"], "left")
                  .withColumn("n", F.col("n") + F.when(F.col("r1") == F.col("r2"), 1 << k).otherwise(0)))
         runs = materialize(grown.select(*runs.columns).unionByName(runs.where(F.col("k") <= k)), "runs")
-    return runs.select(*DOC, "ln", "n", "first")
+    runs = runs.select(*DOC, "ln", "n")
+    refined = _refined(levels, later, runs)
+    return runs if refined is None else runs.unionByName(refined)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:

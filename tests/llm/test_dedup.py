@@ -194,6 +194,49 @@ def test_lines_equal_brute_force(docs, least):
         assert got[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i])
 
 
+def longest_runs(rows, least):
+    """Lines of each suffix's longest prefix that has any earlier copy, by comparison with all earlier suffixes."""
+    seqs = [(i, t.split("\n")) for i, t in sorted(rows)]
+    starts = [(q, a) for _, q in seqs for a in range(len(q))]
+    out, at = {}, 0
+    for i, q in seqs:
+        gone = set()
+        for a in range(len(q)):
+            n = 0
+            for p, b in starts[:at]:
+                m = 0
+                while a + m < len(q) and b + m < len(p) and q[a + m] == p[b + m]:
+                    m += 1
+                n = max(n, m)
+            at += 1
+            if sum(len(x.split()) for x in q[a:a + n]) >= least:
+                gone |= set(range(a, a + n))
+        out[i] = sorted(gone)
+    return out
+
+
+def test_lines_match_the_longest_earlier_copy(docs):
+    a, b, c, x = (" ".join(f"{k}{i}" for i in range(20)) for k in "abcx")
+    got = line_dedup.dedup_lines(docs([(1, f"{a}\n{b}\n{x}"), (2, f"{a}\n{b}\n{c}"), (3, f"{a}\n{b}\n{c}")])).collect()
+    assert {r.doc_id: list(r.removed) for r in got} == {1: [], 2: [], 3: [0, 1, 2]}
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_lines_equal_longest_runs(docs, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(words(rng, rng.randrange(1, 9))) for _ in range(6)]
+    long = [rng.choice(pool) for _ in range(40)]
+    rows = []
+    for i in range(50):
+        start = rng.randrange(len(long))
+        body = long[start:start + rng.randrange(1, 24)] + [rng.choice(pool) for _ in range(rng.randrange(3))]
+        rows.append((i, "\n".join(body)))
+    want = longest_runs(rows, 40)
+    assert want != brute_lines(rows, 40)  # one anchor a suffix is not enough here
+    got = {r.doc_id: list(r.removed) for r in line_dedup.dedup_lines(docs(rows + rows[:3]), min_words=40).collect()}
+    assert got == want
+
+
 def test_lines_odd_input(docs):
     long_line = " ".join(f"w{i}" for i in range(60))
     rows = [*ODD, (20, f"{long_line}\nown line"), (21, f"first\n{long_line}"), (None, long_line)]
