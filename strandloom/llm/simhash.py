@@ -39,7 +39,8 @@ CHUNK = 8192
 FRONTIER = 1 << 18
 #: Bands and minimum hashes a band of :func:`near_duplicates`: finds a pair of similarity 0.8 with 99.7 %.
 BANDS, BAND_ROWS = 8, 3
-#: Radius for proposals: at similarity 0.8 the expected distance is 9.7 bits, its deviation 2.9.
+#: Radius for proposals, between fingerprints of distinct shingles: at similarity 0.8 the expected distance is
+#: 9.7 bits, its deviation 2.9.
 WIDE_RADIUS = 22
 
 
@@ -291,7 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             uid, fps, bands = [], [], []
             for t in b.column(1):
                 words = words_of(t.as_py())
-                h = shingle_hashes(words, shingle)
+                h = np.unique(shingle_hashes(words, shingle))  # as the similarity, the fingerprint is of the set
                 uid.append(xxh3_128_digest(b" ".join(words)))
                 fps.append(simhash(h))
                 bands.append(minhash_bands(h).view(np.int64) if len(h) else [])

@@ -131,6 +131,16 @@ def test_near_duplicates_equal_brute_force(docs):
     assert {r.doc_id for r in kept.collect()} == set(want.values()) and kept.columns == docs(rows).columns
 
 
+def test_near_duplicates_that_repeat_a_line(docs):
+    rng = random.Random(8)
+    rows = []
+    for i in range(20):
+        body, line = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (400, 12))
+        rows += [(2 * i, f"{body}\n{line}"), (2 * i + 1, "\n".join([body, *[line] * 40]))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_near_duplicates_odd_input(docs):
     got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs(ODD)).collect()]
     assert sorted(got, key=repr) == sorted([(1, 1), (2, 1), (3, 1), (None, None), (5, 5), (6, 5), (6, 5), (7, 7), (8, 8)], key=repr)
