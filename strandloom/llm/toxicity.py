@@ -24,12 +24,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, without_ids
+from .common import materialize, new_folder, open_fs, small_batches, without_ids
 
 #: Labelled rows the classifier is fitted on at most.
 SAMPLE = 12_000
-#: Entries of the character model that are broadcast at most (the most frequent; the rest is smoothed).
-TRIGRAMS = 60_000
 #: Lexicon entries at most, by evidence.
 LEXICON = 20_000
 PREFIXES = (4, 5)
@@ -42,6 +40,8 @@ _MARKS = set("._-~^*'’`·•/\\|,:;​‌‍\xad")
 _EDGE = ".,;:?\"'()[]{}«»“”„…!-_*~"
 #: Words whose weight a worker remembers; different words whose characters wait to be counted.
 _MEMO_WORDS, _HELD_WORDS = 400_000, 100_000
+#: Trigrams whose probability a worker remembers; bits of a character in a packed trigram.
+_MEMO_GRAMS, _CHAR = 100_000, (1 << 21) - 1
 _START, _STOP = "\x02", "\x03"
 #: Log-cost of one disguise.
 _SWAP, _DROP, _REPEAT = -1.5, -1.0, -0.5
@@ -52,23 +52,65 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    uniq, place = np.unique(keys, return_inverse=True)
+    out = np.zeros(len(uniq), np.int64)
+    np.add.at(out, place, n)
+    return uniq, out
+
+
+def _count(table: tuple[np.ndarray, np.ndarray], key: int) -> int:
+    keys, n = table
+    i = int(keys.searchsorted(key))
+    return int(n[i]) if i < len(keys) and keys[i] == key else 0
+
+
 class CharModel:
-    """Interpolated character trigram model."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.tri = counts
-        self.ctx2, self.bi, self.ctx1, self.uni = Counter(), Counter(), Counter(), Counter()
-        for t, n in counts.items():
-            self.ctx2[t[:2]] += n
-            self.bi[t[1:]] += n
-            self.ctx1[t[1]] += n
-            self.uni[t[2]] += n
-        self.total = sum(self.uni.values()) or 1
+    """Interpolated character trigram model of all trigrams in ``folder`` (Parquet, ``gram, n``).
+
+    Only the name of the folder travels; each worker loads the table once, 16 bytes a trigram and less for bigrams.
+    """
+
+    loaded: tuple[str, tuple] | None = None  # of this process: the last folder and its tables
+
+    def __init__(self, folder: str):
+        self.folder, self.known = folder, {}
+
+    def __getstate__(self):
+        return {"folder": self.folder, "known": {}}
+
+    def tables(self) -> tuple:
+        """Counts of trigrams, their contexts, bigrams, their contexts and characters, and the total."""
+        if CharModel.loaded is None or CharModel.loaded[0] != self.folder:
+            from pyarrow import fs as pafs, parquet
+
+            fs, path = open_fs(self.folder)
+            keys, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for info in fs.get_file_info(pafs.FileSelector(path)):
+                if info.base_name.endswith(".parquet") and info.base_name[0] not in "._":
+                    with fs.open_input_file(info.path) as file:
+                        part = parquet.ParquetFile(file).read()
+                    keys.append(part.column("gram").to_numpy())
+                    n.append(part.column("n").to_numpy())
+            tri = _sums(np.concatenate(keys), np.concatenate(n))
+            k, n = tri
+            uni = _sums(k & _CHAR, n)
+            CharModel.loaded = (self.folder, (tri, _sums(k >> 21, n), _sums(k & (1 << 42) - 1, n), _sums(k >> 21 & _CHAR, n),
+                                              uni, int(n.sum()) or 1))
+        return CharModel.loaded[1]
 
     def log_p(self, a: str, b: str, c: str) -> float:
-        p = (0.7 * self.tri.get(a + b + c, 0) / max(1, self.ctx2[a + b]) + 0.2 * self.bi[b + c] / max(1, self.ctx1[b])
-             + 0.0999 * self.uni[c] / self.total + 1e-6)
-        return math.log(p)
+        known = self.known.get(a + b + c)
+        if known is None:
+            tri, ctx2, bi, ctx1, uni, total = self.tables()
+            x, y, z = ord(a), ord(b), ord(c)
+            p = (0.7 * _count(tri, x << 42 | y << 21 | z) / max(1, _count(ctx2, x << 21 | y))
+                 + 0.2 * _count(bi, y << 21 | z) / max(1, _count(ctx1, y)) + 0.0999 * _count(uni, z) / total + 1e-6)
+            if len(self.known) >= _MEMO_GRAMS:
+                self.known.clear()
+            self.known[a + b + c] = known = math.log(p)
+        return known
 
     def restore(self, word: str) -> str:
         """Likeliest reading of a (lower-case) word by Viterbi decoding of its lattice."""
@@ -117,7 +159,7 @@ def disguised(word: str) -> bool:
 
 @dataclass
 class Model:
-    """What is broadcast: bounded by ``TRIGRAMS`` and ``LEXICON``."""
+    """What is broadcast: bounded by ``LEXICON``, as the character model is a table in the shared folder."""
 
     chars: CharModel
     weights: dict[str, float]
@@ -185,7 +227,7 @@ def score_text(text: str | None, model: Model, memo: dict[str, float]) -> float:
 
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``gram, n``: trigrams of the words of all texts, counted in the tasks before the shuffle."""
+    """``gram, n``: trigrams (21 bits a character) of the words of all texts, counted in the tasks before the shuffle."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
@@ -216,11 +258,9 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             if len(words) > _HELD_WORDS:
                 spill()
         spill()
-        mask = (1 << 21) - 1
-        names = ["".join(chr(k >> s & mask) for s in (42, 21, 0)) for k in grams]
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(names, pa.string()), "n": pa.array(list(grams.values()), pa.int64())})
+        yield pa.RecordBatch.from_pydict({"gram": pa.array(list(grams), pa.int64()), "n": pa.array(list(grams.values()), pa.int64())})
 
-    counted = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "gram string, n long")
+    counted = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "gram long, n long")
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -278,8 +318,9 @@ def _gather(rows: DataFrame, chars: CharModel, only: set[str] | None) -> DataFra
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample: int = SAMPLE) -> Model:
     """Character model of all texts, and the lexicon of the labelled sample."""
     small_batches(docs.sparkSession)
-    grams = character_counts(docs, text_col).orderBy(F.desc("n"), "gram").limit(TRIGRAMS)
-    chars = CharModel({r["gram"]: r["n"] for r in grams.collect()})
+    folder = new_folder(docs.sparkSession, "trigrams")
+    character_counts(docs, text_col).write.parquet(folder)
+    chars = CharModel(folder)
     rows = _training_rows(docs, labels, id_col, text_col, sample)
     toxic, clean = rows.where("toxic = 1"), rows.where("toxic <> 1")
     kind = F.col("feature").isin(_START, _STOP)

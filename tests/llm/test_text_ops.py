@@ -233,6 +233,15 @@ def test_toxicity(spark, docs):
     assert kept.columns == df.columns and kept.where("doc_id = 1000").count() == 0 and kept.where("doc_id is null").count() == 1
 
 
+def test_rare_trigrams_count(spark, docs):
+    rng = random.Random(4)
+    other = [" ".join("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3)) for _ in range(1000)) for _ in range(30)]
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    chars = toxicity.fit(docs(list(enumerate(other + other)) + [(99, "qzx")]), none).chars
+    assert chars.log_p("q", "z", "x") > -0.4  # over 60000 other trigrams are more frequent
+    assert chars.restore("q2x") == "qzx"
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     odd = spark.createDataFrame([(None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
