@@ -66,6 +66,28 @@ def _count(table: tuple[np.ndarray, np.ndarray], key: int) -> int:
     return int(n[i]) if i < len(keys) and keys[i] == key else 0
 
 
+def lattice(word: str) -> list[list[tuple[str, float]]]:
+    """What each run of one character in a (lower-case) word may stand for, with the log-cost."""
+    slots: list[list[tuple[str, float]]] = []
+    i = 0
+    while i < len(word):
+        c, j = word[i], i
+        while j < len(word) and word[j] == c:
+            j += 1
+        run = j - i
+        if c.isalpha():
+            slots.append([(c, 0.0 if run == 1 else _REPEAT)] + ([(c * 2, 0.0 if run == 2 else _REPEAT)] if run > 1 else []))
+        else:
+            options = [(x, _SWAP) for x in LOOKALIKES.get(c, "")]
+            if run > 1:
+                options += [(x * 2, _SWAP * 2) for x in LOOKALIKES.get(c, "")]
+            if c in _MARKS or not options:
+                options.append(("", _DROP))
+            slots.append(options)
+        i = j
+    return slots
+
+
 class CharModel:
     """Interpolated character trigram model of all trigrams in ``folder`` (Parquet, ``gram, n``).
 
@@ -112,25 +134,14 @@ class CharModel:
             self.known[a + b + c] = known = math.log(p)
         return known
 
+    def log_word(self, word: str) -> float:
+        """Log-probability of a word's characters."""
+        x = f"{_START}{_START}{word}{_STOP}"
+        return sum(self.log_p(*x[i:i + 3]) for i in range(len(x) - 2))
+
     def restore(self, word: str) -> str:
         """Likeliest reading of a (lower-case) word by Viterbi decoding of its lattice."""
-        slots: list[list[tuple[str, float]]] = []
-        i = 0
-        while i < len(word):
-            c, j = word[i], i
-            while j < len(word) and word[j] == c:
-                j += 1
-            run = j - i
-            if c.isalpha():
-                slots.append([(c, 0.0 if run == 1 else _REPEAT)] + ([(c * 2, 0.0 if run == 2 else _REPEAT)] if run > 1 else []))
-            else:
-                options = [(x, _SWAP) for x in LOOKALIKES.get(c, "")]
-                if run > 1:
-                    options += [(x * 2, _SWAP * 2) for x in LOOKALIKES.get(c, "")]
-                if c in _MARKS or not options:
-                    options.append(("", _DROP))
-                slots.append(options)
-            i = j
+        slots = lattice(word)
         states: dict[tuple[str, str], tuple[float, str]] = {(_START, _START): (0.0, "")}
         for options in slots:
             nxt: dict[tuple[str, str], tuple[float, str]] = {}
@@ -188,23 +199,85 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-def spaced_runs(words: list[str]) -> Iterator[str]:
-    """Letters that stand apart, three or more in a row, joined."""
-    single = [i for i, w in enumerate(words) if len(w) == 1]
-    i = 0
-    while i < len(single):
-        j = i
-        while j + 1 < len(single) and single[j + 1] == single[j] + 1:
-            j += 1
-        if j - i >= 2:
-            yield "".join(words[k] for k in single[i:j + 1])
-        i = j + 1
+class Spaced:
+    """Words of the lexicon that stand in a text with spaces inside.
+
+    A walk along the tokens (without edge punctuation) keeps the readings that begin a word of the lexicon.  A
+    word that ends with a token counts if the characters decode to it, and if the character model prefers it,
+    less the cost of the dropped spaces, to the tokens as words; three or more single characters need no comparison.
+    """
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.words = {w for w in model.weights if len(w) > 2 and not w.endswith("*")}
+        self.heads = {w[:n] for w in self.words for n in range(1, len(w) + 1)}
+        self.known: dict[str, tuple[str, dict[str, str]]] = {}
+
+    def token(self, raw: str) -> tuple[str, dict[str, str]]:
+        """The token without edge punctuation (a single sign stays) and its readings that begin a word of the lexicon."""
+        out = self.known.get(raw)
+        if out is None:
+            if len(self.known) >= _MEMO_WORDS:
+                self.known.clear()
+            token = raw.strip(_EDGE) or (raw if len(raw) == 1 else "")
+            out = self.known[raw] = (token, {x: y for x, y in self.grown({"": ""}, token).items() if x})
+        return out
+
+    def grown(self, states: dict[str, str], token: str) -> dict[str, str]:
+        """``states`` (a reading and the characters it reads) after another token."""
+        out = dict(states) if not token or token in _EDGE else {}
+        for read, raw in states.items():
+            rest = token.lstrip(raw[-1]) if raw and token[:1] == raw[-1] and raw[-1].isalpha() else token
+            for part in {token, rest}:
+                reads = [read]
+                for options in lattice(part):
+                    reads = [x + emit for x in reads for emit, _ in options if not x + emit or x + emit in self.heads]
+                for x in reads:
+                    out.setdefault(x, raw + token)
+        return out
+
+    def accepted(self, word: str, raw: str, tokens: list[str]) -> bool:
+        chars = self.model.chars
+        if raw != word and (not any(c.isalpha() for c in raw) or chars.restore(raw) != word):
+            return False
+        if len(tokens) > 2 and all(len(t) == 1 for t in tokens):
+            return True
+        apart = sum(chars.log_word(chars.restore(t) if disguised(t) else t) for t in tokens)
+        return chars.log_word(word) + _DROP * (len(tokens) - 1) > apart
+
+    def evidence(self, words: list[str]) -> float:
+        """Largest sum over words that share no token; each different word counts once."""
+        ends: dict[int, list[tuple[int, str]]] = defaultdict(list)
+        for i, first in enumerate(words):
+            token, states = self.token(first)
+            if not states or i and first == words[i - 1] and len(first) == 1:  # a drawn-out letter is read from its first
+                continue
+            tokens, j = [token], i
+            while states and j + 1 < len(words):
+                j += 1
+                token = self.token(words[j])[0]
+                states = {x: y for x, y in self.grown(states, token).items() if x}
+                tokens += [token] if token else []
+                for x, raw in states.items():
+                    if token and x in self.words and raw.endswith(token) and self.accepted(x, raw, tokens):
+                        ends[j + 1].append((i, x))
+        if not ends:
+            return 0.0
+        best: list[tuple[float, frozenset[str]]] = [(0.0, frozenset())]
+        for j in range(1, len(words) + 1):
+            top = best[-1]
+            for i, x in ends.get(j, ()):
+                score, used = best[i]
+                score += 0.0 if x in used else self.model.weights[x]
+                top = max(top, (score, used | {x}), key=lambda p: p[0])
+            best.append(top)
+        return best[-1][0]
 
 
 class _Memo(dict):
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.spaced = model, Spaced(model)
 
     def __missing__(self, raw: str) -> float:
         if len(self) >= _MEMO_WORDS:
@@ -213,16 +286,13 @@ class _Memo(dict):
         return out
 
 
-def score_text(text: str | None, model: Model, memo: dict[str, float]) -> float:
-    """Probability of label 1: prior and the evidence of each different word."""
+def score_text(text: str | None, model: Model, memo: _Memo) -> float:
+    """Probability of label 1: prior and the evidence of each different word, and of words with spaces inside."""
     words = (text or "").lower().split()
     x = model.bias
     for w in set(words):
         x += memo[w]
-    for joined in spaced_runs(words):
-        whole = model.chars.restore(joined) if not _PLAIN.match(joined) or _DRAWN.search(joined) else joined
-        # the run may begin or end with letters that are words of their own
-        x += max((model.weights.get(whole[i:j], 0.0) for i in range(len(whole)) for j in range(i + 4, min(len(whole), i + 24) + 1)), default=0.0)
+    x += memo.spaced.evidence(words)
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 

@@ -233,6 +233,20 @@ def test_toxicity(spark, docs):
     assert kept.columns == df.columns and kept.where("doc_id = 1000").count() == 0 and kept.where("doc_id is null").count() == 1
 
 
+def test_words_with_spaces_inside(spark, docs):
+    rows, labels = tox_rows()
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(rows), lab)
+    spaced = toxicity.Spaced(model)
+    one, two = (model.weights[w] for w in ("grumbolt", "snarfwit"))
+    for text in ("bara g r u m b o l t.", "'g r u m b o l t' tiso", "grum bolt", "bara g rum bo lt", "g r u u u m b 0 l t", "a g r u m b o l t",
+                 "g - r - u - m - b - o - l - t"):
+        assert spaced.evidence(text.split()) == one, text
+    assert spaced.evidence("g r u m b o l t s n a r f w i t".split()) == pytest.approx(one + two)
+    for text in ("bara tiso", "grumbolt", "g r u m", "- - - -", "0 1 4 5", ""):
+        assert spaced.evidence(text.split()) == 0.0, text
+
+
 def test_rare_trigrams_count(spark, docs):
     rng = random.Random(4)
     other = [" ".join("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3)) for _ in range(1000)) for _ in range(30)]
