@@ -195,12 +195,40 @@ def test_permutations_are_bijections(spark):
 
 def test_pseudonymize(docs):
     rows = [*ODD, (20, "call +1 (705) 555-1902 or a@b.co, card 4111111111111111."), (21, "again +1 (705) 555-1902"), (22, "version 4.0 of 2024 and 12345")]
-    got = {r.doc_id: r for r in pii.pseudonymize(docs(rows)).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymize(docs(rows), key="k").collect()}
     assert got[1].text is None and got[2].text == "" and got[7].text == "x " * 60_000
     assert got[22].text == rows[-1][1] and got[22].n_found == 0 and got[20].n_found == 3
     phone = re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[20].text)[0]
     assert phone in got[21].text and phone != "+1 (705) 555-1902"
-    assert pii.pseudonymize(docs([])).count() == 0
+    assert pii.pseudonymize(docs([]), key="k").count() == 0
+
+
+def test_hostile_texts(docs):
+    n = 200_000  # the same for 1,000,000, which takes five times as long
+    texts = ["x@" + "a." * (n // 2) + "com", "x@" + "a-" * (n // 2), "a" * n, "a@" * (n // 2), "1-" * (n // 2), "1 " * (n // 2), "1." * (n // 2), "9" * n,
+             "token=" + "f" * n, "+4" + "9 " * (n // 2), "DE" + "89" * (n // 2), "." * n + "@x.com", "A1 " * (n // 3), "=" * n, "%" * n + "@"]
+    got = {r.doc_id: r for r in pii.pseudonymize(docs(list(enumerate(texts))), key="k").collect()}
+    assert {i: len(r.text) for i, r in got.items()} == {i: len(t) for i, t in enumerate(texts)}
+    assert got[0].n_found == 1 and got[8].n_found == 1
+
+
+def test_long_values_and_other_kinds(spark, docs):
+    head = "ab12" * 30
+    values = ["token=" + "9f" * 36, 'TOKEN = "9233A8EC00112233AABBCCDDEEFF00112233AABB"', f"{head}@mail.example.com", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000",
+              "+49 30 1234567", "+4930 1234567", "4111111111111111 123", "12 4111 1111 1111 1111", "+12025550123"]
+    got = {r.doc_id: r for r in pii.pseudonymize(docs(list(enumerate(values))), key="k").collect()}
+    for i, v in enumerate(values):
+        new = got[i].text
+        assert got[i].n_found == 1 and new != v and re.sub(r"[0-9A-Za-z]", "x", new) == re.sub(r"[0-9A-Za-z]", "x", v), v
+    assert got[0].text[6:] != "9f" * 36 and got[1].text[9:-1] == got[1].text[9:-1].upper()
+    assert got[2].text.endswith("@mail.example.com") and head[:40] not in got[2].text
+    number = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4]))
+    assert number(got[3].text.replace(" ", "")) % 97 == number(got[4].text) % 97 == 1
+    assert got[3].text[:2] == "GB" and got[4].text[:2] == "DE"
+    assert re.sub(r"\D", "", got[5].text) == re.sub(r"\D", "", got[6].text)  # the layout does not matter
+    assert luhn(got[7].text.split()[0]) and got[7].text.endswith(" 123") and got[8].text.startswith("12 ") and luhn(got[8].text[3:].replace(" ", ""))
+    wrong = ["GB83 WEST 1234 5698 7654 32", "XX", "+49 1"]
+    assert [r.n_found for r in pii.pseudonymize(docs(list(enumerate(wrong))), key="k").collect()] == [0, 0, 0]
 
 
 # --- toxicity ---
