@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from strandloom.llm import components, exact_dedup, line_dedup, simhash
+from strandloom.llm import common, components, exact_dedup, line_dedup, simhash
 
 from odd import ODD
 
@@ -155,32 +155,23 @@ def test_components_of_a_long_chain(spark):
 
 # --- lines ---
 
-def brute_lines(rows, least=line_dedup.MIN_WORDS):
-    texts = {i: (t or "").split("\n") for i, t in rows}
-    seqs = sorted(texts.items())
-    best = {}
-    k = 0
-    while True:
-        where = defaultdict(list)
-        for i, q in seqs:
-            for a in range(len(q) - (1 << k) + 1):
-                where[tuple(q[a:a + (1 << k)])].append((i, a))
-        again = {p: v[0] for v in where.values() if len(v) > 1 for p in v}
-        if not again:
-            break
-        best |= {p: f for p, f in again.items() if p != f}
-        k += 1
-    out = {}
+def longest_runs(rows, least):
+    """By the contract alone: lines of each suffix's longest prefix that has any earlier copy, by comparison with all earlier suffixes."""
+    seqs = [(i, t.split("\n")) for i, t in sorted(rows)]
+    starts = [(q, a) for _, q in seqs for a in range(len(q))]
+    out, at = {}, 0
     for i, q in seqs:
         gone = set()
         for a in range(len(q)):
-            if (i, a) in best:
-                j, b = best[i, a]
-                n = 0
-                while a + n < len(q) and b + n < len(texts[j]) and q[a + n] == texts[j][b + n]:
-                    n += 1
-                if sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in q[a:a + n]) >= least:
-                    gone |= set(range(a, a + n))
+            n = 0
+            for p, b in starts[:at]:
+                m = 0
+                while a + m < len(q) and b + m < len(p) and q[a + m] == p[b + m]:
+                    m += 1
+                n = max(n, m)
+            at += 1
+            if sum(len(x.split()) for x in q[a:a + n]) >= least:
+                gone |= set(range(a, a + n))
         out[i] = sorted(gone)
     return out
 
@@ -198,40 +189,40 @@ def test_lines_equal_brute_force(docs, least):
             body[1:1] = other[a:a + rng.randrange(1, 9)]
         rows.append((i, "\n".join(body)))
     got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(rows), min_words=least).collect()}
-    want = brute_lines(rows, least)
+    want = longest_runs(rows, least)
     assert {i: list(r.removed) for i, r in got.items()} == want
     for i, t in rows:
         assert got[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i])
 
 
-def longest_runs(rows, least):
-    """Lines of each suffix's longest prefix that has any earlier copy, by comparison with all earlier suffixes."""
-    seqs = [(i, t.split("\n")) for i, t in sorted(rows)]
-    starts = [(q, a) for _, q in seqs for a in range(len(q))]
-    out, at = {}, 0
-    for i, q in seqs:
-        gone = set()
-        for a in range(len(q)):
-            n = 0
-            for p, b in starts[:at]:
-                m = 0
-                while a + m < len(q) and b + m < len(p) and q[a + m] == p[b + m]:
-                    m += 1
-                n = max(n, m)
-            at += 1
-            if sum(len(x.split()) for x in q[a:a + n]) >= least:
-                gone |= set(range(a, a + n))
-        out[i] = sorted(gone)
-    return out
-
-
 def test_lines_match_the_longest_earlier_copy(docs):
     a, b, c, x = (" ".join(f"{k}{i}" for i in range(20)) for k in "abcx")
     got = line_dedup.dedup_lines(docs([(1, f"{a}\n{b}\n{x}"), (2, f"{a}\n{b}\n{c}"), (3, f"{a}\n{b}\n{c}")])).collect()
     assert {r.doc_id: list(r.removed) for r in got} == {1: [], 2: [], 3: [0, 1, 2]}
 
 
-@pytest.mark.parametrize("seed", [1, 3])
+def test_lines_of_two_later_copies_behind_a_shorter_one(docs):
+    a, b, c, w, x, y, z, q, r = (" ".join(f"{k}{i}" for i in range(20)) for k in "abcwxyzqr")
+    rows = [(1, "\n".join([a, x, y, w])), (2, "\n".join([b, x, y, z, q])), (3, "\n".join([c, x, y, z, r]))]
+    got = line_dedup.dedup_lines(docs(rows)).collect()
+    assert {r.doc_id: list(r.removed) for r in got} == longest_runs(rows, 50) == {1: [], 2: [], 3: [1, 2, 3]}
+
+
+def test_lines_with_a_shuffled_lookup(spark, docs, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rng = random.Random(12)
+    pool = [" ".join(words(rng, 9)) for _ in range(30)]
+    rows = [(i, "\n".join(pool[(i * 7 + k) % 30] for k in range(4 + i % 9))) for i in range(60)]
+    monkeypatch.setattr(line_dedup, "with_lookup", lambda df, table, key, rows, row_bytes: common.with_lookup(df, table, key, rows, row_bytes, limit=-1))
+    df = line_dedup.dedup_lines(docs(rows))
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: list(r.removed) for r in df.collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == longest_runs(rows, 50)
+
+
+@pytest.mark.parametrize("seed", [1, 3, 4, 5, 6, 7])
 def test_lines_equal_longest_runs(docs, seed):
     rng = random.Random(seed)
     pool = [" ".join(words(rng, rng.randrange(1, 9))) for _ in range(6)]
@@ -242,7 +233,6 @@ def test_lines_equal_longest_runs(docs, seed):
         body = long[start:start + rng.randrange(1, 24)] + [rng.choice(pool) for _ in range(rng.randrange(3))]
         rows.append((i, "\n".join(body)))
     want = longest_runs(rows, 40)
-    assert want != brute_lines(rows, 40)  # one anchor a suffix is not enough here
     got = {r.doc_id: list(r.removed) for r in line_dedup.dedup_lines(docs(rows + rows[:3]), min_words=40).collect()}
     assert got == want
 
