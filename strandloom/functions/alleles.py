@@ -71,11 +71,11 @@ def can_trim(ref: Column, alt: Column) -> Column:
 
 
 def is_parsimonious(ref: Column, alt: Column) -> Column:
-    """No empty side, and not trimmable except for one padding base in front of an indel."""
+    """No empty side, at most one common base in front, and none behind unless a side has one base only."""
     shortest = F.least(F.length(ref), F.length(alt))
-    same_front = F.substring(ref, 1, 1) == F.substring(alt, 1, 1)
+    two_in_front = (shortest > 1) & (F.substring(ref, 1, 2) == F.substring(alt, 1, 2))
     same_back = F.substr(ref, F.length(ref), F.lit(1)) == F.substr(alt, F.length(alt), F.lit(1))
-    return (shortest > 0) & F.when(shortest == 1, ~(same_back & (F.greatest(F.length(ref), F.length(alt)) > 1))).otherwise(~same_front & ~same_back)
+    return (shortest > 0) & ~two_in_front & ((shortest == 1) | ~same_back)
 
 
 def split_mnv(start: Column, ref: Column, alt: Column) -> Column:
@@ -107,15 +107,43 @@ def mismatches(a: Column, b: Column) -> Column:
     return hamming(a, b)
 
 
-def left_align_row(start: int, ref: str, alt: str, before: str) -> tuple[int, str, str]:
-    """Shift one trimmed indel left inside ``before``, the reference up to ``start``: while the base in front equals
-    the indel's last base, rotate it.  Other variants are returned as they are."""
-    if bool(ref) == bool(alt):
-        return start, ref, alt
-    seq = ref or alt
-    i = len(before)
-    while i and before[i - 1] == seq[-1]:
-        seq = before[i - 1] + seq[:-1]
-        i -= 1
-    moved = start - (len(before) - i)
-    return (moved, seq, "") if ref else (moved, "", seq)
+def pad_right(ref_base: Column, ref: Column, alt: Column, start: Column) -> Column:
+    return F.struct(start.alias("start_pos"), F.concat(ref, ref_base).alias("ref"), F.concat(alt, ref_base).alias("alt"))
+
+
+def common_suffix_length(a: Column, b: Column) -> Column:
+    """In one pass over both strings."""
+    ends = lambda x: F.split(F.reverse(x), "")
+    first = F.array_position(F.zip_with(ends(a), ends(b), lambda x, y: ~x.eqNullSafe(y)), True)
+    return F.when(first == 0, F.length(a)).otherwise(first - 1).cast("int")
+
+
+def left_shift(ref: Column, alt: Column, before: Column) -> Column:
+    """How far an indel can move left within ``before``, the reference up to its begin: the common suffix of both
+    alleles behind it.  As many as ``before`` has means that it may go on.  Other variants do not move."""
+    n = common_suffix_length(F.concat(before, ref), F.concat(before, alt))
+    return F.when(is_indel(ref, alt), F.least(n, F.length(before))).otherwise(0)
+
+
+def shifted_left(start: Column, ref: Column, alt: Column, before: Column, n: Column) -> Column:
+    """The variant ``n`` positions to the left; the alleles keep their sizes."""
+    cut = lambda x: F.substr(F.concat(before, x), F.length(before) - n + 1, F.length(x))
+    begin = start - n
+    return F.struct(begin.alias("start_pos"), (begin + F.length(ref)).alias("end_pos"), cut(ref).alias("ref"), cut(alt).alias("alt"))
+
+
+def make_parsimonious(start: Column, ref: Column, alt: Column, base_before: Column, base_behind: Column) -> Column:
+    """The shortest form in which both alleles have a base: common bases go at the front, then at the back, but for one.
+
+    An allele without bases gets the reference base before it, or the one behind it at the start of a contig.
+    """
+    least = F.least(F.length(ref), F.length(alt))
+    front = common_prefix_length(ref, alt)
+    rest = lambda x, k: F.substr(x, k + 1, F.length(x))
+    back = F.least(common_suffix_length(rest(ref, front), rest(alt, front)), least - front, F.greatest(least - 1, F.lit(0)))
+    f = F.when(front == least, least - 1).otherwise(front)
+    b = F.when(front == least, 0).otherwise(back)
+    cut = lambda x: F.substr(x, f + 1, F.length(x) - f - b)
+    cell = lambda s, r, a: F.struct(s.cast("bigint").alias("start_pos"), (s + F.length(r)).cast("bigint").alias("end_pos"), r.alias("ref"), a.alias("alt"))
+    return F.when((least == 0) & (start > 0), cell(start - 1, F.concat(base_before, ref), F.concat(base_before, alt))).when(
+        least == 0, cell(start, F.concat(ref, base_behind), F.concat(alt, base_behind))).otherwise(cell(start + f, cut(ref), cut(alt)))

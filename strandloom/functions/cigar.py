@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,3 +112,43 @@ def walk(ops: Column, begin: Column) -> Column:
 
     zero = F.struct(F.array().cast("array<struct<size:int,flag:string,at:bigint,off:int>>").alias("out"), begin.cast("bigint").alias("at"), F.lit(0).alias("off"))
     return F.aggregate(ops, zero, step)["out"]
+
+
+def section(ops: Column, begin: Column, start: Column, end: Column) -> Column:
+    """``struct(off, size)``: the bases of a read from ``begin`` that lie on [start, end) of the reference.
+
+    An insertion belongs to the base in front of it; on an empty region it is all there is.  Deleted positions
+    have no bases.  Positions outside of the read are left out.
+    """
+    def before(pos: Column, inserted: Callable[[Column], Column]) -> Column:
+        def step(acc: Column, o: Column) -> Column:
+            both, ins = o["flag"].isin("M", "=", "X", "S"), o["flag"] == "I"
+            n = F.when(both, F.least(F.greatest(pos - acc["at"], F.lit(0)), o["size"])).when(ins & inserted(acc["at"]), o["size"]).otherwise(0)
+            return F.struct((acc["at"] + F.when(both | o["flag"].isin("D", "N"), o["size"]).otherwise(0)).cast("bigint").alias("at"), (acc["n"] + n).cast("int").alias("n"))
+
+        return F.aggregate(ops, F.struct(begin.cast("bigint").alias("at"), F.lit(0).alias("n")), step)["n"]
+
+    empty = start == end
+    off = before(start, lambda at: F.when(empty, at < start).otherwise(at <= start))
+    upto = before(end, lambda at: at <= end)
+    return F.struct(off.alias("off"), F.greatest(upto - off, F.lit(0)).alias("size"))
+
+
+def subregion(ops: Column, begin: Column, start: Column, end: Column) -> Column:
+    """The operations on [start, end) of a read from ``begin``; insertions as in :func:`section`."""
+    empty = start == end
+
+    def cut(o: Column) -> Column:
+        ref = o["flag"].isin("M", "=", "X", "S", "D", "N")
+        n = F.when(ref, F.greatest(F.least(o["at"] + o["size"], end) - F.greatest(o["at"], start), F.lit(0)))
+        inside = F.when(empty, o["at"] == start).otherwise((o["at"] > start) & (o["at"] <= end))
+        return F.struct(F.coalesce(n, F.when(inside & (o["flag"] == "I"), o["size"]), F.lit(0)).cast("int").alias("size"), o["flag"].alias("flag"))
+
+    return F.filter(F.transform(walk(ops, begin), cut), lambda o: o["size"] > 0)
+
+
+def operation_at(ops: Column, place: Column) -> Column:
+    """The operation that holds the base at ``place`` (from 0) of the sequence; null past its end."""
+    at = F.transform(walk(ops, F.lit(0)), lambda o: F.struct(o["off"].alias("off"), F.struct(o["size"], o["flag"]).alias("op")))
+    hits = F.filter(at, lambda o: (o["off"] <= place) & (place < o["off"] + o["op"]["size"]) & _in(o["op"], ADVANCES_SEQUENCE))
+    return F.get(hits, F.lit(0))["op"]

@@ -1,13 +1,17 @@
 """Phred scores, log-space sums and discrete distributions as column expressions.
 
 Special functions that Spark lacks (log-gamma and the incomplete beta function) are built from JVM-side
-array expressions, so that no Python runs in a query that uses them.
+array expressions.  Where a query needs the incomplete beta function for every row (the bias measures), the
+Arrow functions :func:`beta_cdfs` and :func:`largest_beta_difference` work out the distinct cells of a batch at once.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,6 +147,108 @@ def beta_cdf(a: Column, b: Column, x, steps: int = 60) -> Column:
     return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(out)
 
 
+def _lbeta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    gamma = np.frompyfunc(math.lgamma, 1, 1)
+    return (gamma(a) + gamma(b) - gamma(a + b)).astype(float)
+
+
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray, steps: int = 400) -> np.ndarray:
+    """Regularised incomplete beta function of arrays, by the continued fraction of its smaller tail."""
+    a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
+    flip = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(flip, b, a), np.where(flip, a, b), np.clip(np.where(flip, 1 - x, x), 0.0, 1.0)
+    tiny = 1e-300
+    safe = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c = np.ones_like(y)
+    d = 1 / safe(1 - (p + q) * y / (p + 1))
+    h = d.copy()
+    for m in range(1, steps):
+        for num in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 / safe(1 + num * d)
+            c = safe(1 + num / c)
+            h = h * d * c
+        if np.all(np.abs(d * c - 1) < 1e-14):
+            break
+    with np.errstate(divide="ignore"):
+        front = np.exp(p * np.log(y) + q * np.log1p(-y) - _lbeta(p, q)) / p
+    out = np.where(flip, 1 - front * h, front * h)
+    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
+
+
+def beta_cdfs(cells: Column) -> Column:
+    """For each ``[a, b, low, high]`` of an array: the mass of Beta(a, b) below ``low`` and above ``high``.
+
+    One Arrow batch at a time; each distinct cell of a batch is worked out once.  Counts of reads are small
+    integers, so that a batch has few of them.
+    """
+    return _beta_cdfs()(cells)
+
+
+@cache
+def _beta_cdfs():
+    @F.pandas_udf("array<double>")
+    def run(cells: pd.Series) -> pd.Series:
+        sizes = [0 if c is None else len(c) for c in cells]
+        rows = [r for c in cells if c is not None for r in c]
+        if not rows:
+            return pd.Series([None if c is None else np.empty(0) for c in cells])
+        uniq, place = np.unique(np.array([np.asarray(r, float) for r in rows]), axis=0, return_inverse=True)
+        a, b, low, high = uniq.T
+        mass = (incomplete_beta(a, b, low) + 1 - incomplete_beta(a, b, high))[place.reshape(-1)]
+        ends = np.cumsum(sizes)
+        return pd.Series([None if c is None else mass[e - n:e] for c, n, e in zip(cells, sizes, ends)])
+    return run
+
+
+#: Cells of the grid on which two beta variables are compared, and the difference that counts.
+GRID, LEAST_DIFFERENCE = 200, 0.25
+
+
+def beta_difference(cells: np.ndarray, grid: int = GRID, least: float = LEAST_DIFFERENCE) -> np.ndarray:
+    """P(|X - Y| > least) for rows ``a, b, c, d`` with X ~ Beta(a, b), Y ~ Beta(c, d), both on the midpoints of a grid."""
+    x = (np.arange(grid) + 0.5) / grid
+
+    def weights(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ln = (a[:, None] - 1) * np.log(x) + (b[:, None] - 1) * np.log1p(-x)
+        w = np.exp(ln - ln.max(axis=1, keepdims=True))
+        return w / w.sum(axis=1, keepdims=True)
+
+    reach = int(round(least * grid))  # midpoints this far apart differ by exactly ``least``, which does not count
+    out = np.empty(len(cells))
+    for i in range(0, len(cells), 4096):
+        a, b, c, d = cells[i:i + 4096].T
+        w, cum = weights(a, b), np.cumsum(weights(c, d), axis=1)
+        below = np.zeros_like(cum)
+        below[:, reach + 1:] = cum[:, :grid - reach - 1]
+        upto = np.ones_like(cum)
+        upto[:, :grid - reach] = cum[:, reach:]
+        out[i:i + 4096] = (w * (below + 1 - upto)).sum(axis=1)
+    return out
+
+
+def largest_beta_difference(pairs: Column) -> Column:
+    """Of an array of ``[a, b]``: the largest :func:`beta_difference` of two of them; 0 for fewer than two."""
+    return _largest_beta_difference()(pairs)
+
+
+@cache
+def _largest_beta_difference():
+    @F.pandas_udf("double")
+    def run(pairs: pd.Series) -> pd.Series:
+        cells, owner = [], []
+        for i, ps in enumerate(pairs):
+            ps = [] if ps is None else sorted(tuple(p) for p in ps)
+            for j, p in enumerate(ps):
+                cells += [(*p, *q) for q in ps[:j]]
+                owner += [i] * j
+        out = np.zeros(len(pairs))
+        if cells:
+            uniq, place = np.unique(np.array(cells, float), axis=0, return_inverse=True)
+            np.maximum.at(out, owner, beta_difference(uniq)[place.reshape(-1)])
+        return pd.Series(out)
+    return run
+
+
 def beta_sf(a: Column, b: Column, x) -> Column:
     return 1 - beta_cdf(a, b, x)
 

@@ -41,16 +41,29 @@ def high_coverage_regions(runs: DataFrame, threshold: int, keys: list[str] = ("c
     return select_regions(runs, F.col("depth") > threshold, keys)
 
 
-def depth_at(sites: DataFrame, reads: DataFrame, aggs: dict[str, Column] | None = None, **options) -> DataFrame:
-    """Each site with the largest positional depth inside it: the depth changes only where a read begins.
+def depth_at(sites: DataFrame, reads: DataFrame, aggs: dict[str, Column] | None = None, *, on: list[str] = ("contig",), name: str = "max_depth", **options) -> DataFrame:
+    """Each site with the largest positional depth inside it (an empty site: at its position), and ``aggs`` over its reads.
 
-    The candidates are the site's begin and the begins of its reads; for each, the reads over it are counted from
-    the gathered ends, within the row.
+    Sites meet runs of equal depth from the sweep, not reads: a site of few positions has few partners at any depth.
     """
     from .interval import per_left
 
-    spans = F.collect_list(F.when(F.col("r").isNotNull() & (F.col("r.end_pos") > F.col("r.start_pos")), F.struct(
-        F.greatest("r.start_pos", "l.start_pos").alias("b"), F.col("r.end_pos").alias("e"))))
-    x = per_left(sites, reads, {"_spans": spans, **(aggs or {})}, **options)
-    over = lambda p: F.size(F.filter("_spans", lambda s: (s["b"] <= p["b"]) & (s["e"] > p["b"])))
-    return x.withColumn("max_depth", F.coalesce(F.array_max(F.transform("_spans", over)), F.lit(0)).cast("long")).drop("_spans")
+    x = per_left(sites, reads, aggs, on=on, **options) if aggs else sites
+    wide = x.withColumn("_end", F.col("end_pos")).withColumn("end_pos", F.greatest(F.col("end_pos"), F.col("start_pos") + 1))
+    out = per_left(wide, depth_runs(reads, list(on)), {name: F.coalesce(F.max("r.depth"), F.lit(0)).cast("long")}, on=on, **options)
+    return out.withColumn("end_pos", F.col("_end")).drop("_end")
+
+
+def uniform_coverage_regions(runs: DataFrame, tolerance: int, keys: list[str] = ("contig",)) -> DataFrame:
+    """Neighbouring runs whose depths differ by at most ``tolerance`` from one to the next, with the least and largest depth.
+
+    ``runs`` come from :func:`depth_runs`; both steps along a contig are tiled.
+    """
+    keys = list(keys)
+    prior = following(runs.select(*keys, (-F.col("start_pos")).alias("_neg")), keys, "_neg", "_before").select(
+        *keys, (-F.col("_neg")).alias("start_pos"), (-F.col("_before")).alias("_before"))
+    x = runs.join(prior, [*keys, "start_pos"]).join(runs.select(*keys, F.col("start_pos").alias("_before"), F.col("depth").alias("_depth")), [*keys, "_before"], "left")
+    x = x.withColumn("_new", F.when(F.abs(F.col("depth") - F.col("_depth")) <= tolerance, 0).otherwise(1))
+    x = running(x, keys, "start_pos", F.col("_new"), "_run")
+    return x.groupBy(*keys, "_run").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.min("depth").alias("min_depth"),
+                                        F.max("depth").alias("max_depth")).drop("_run")

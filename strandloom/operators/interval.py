@@ -58,13 +58,34 @@ def per_left(left: DataFrame, right: DataFrame, aggs: dict[str, Column], **optio
 
 
 def copy_overlapped(left: DataFrame, right: DataFrame, **options) -> DataFrame:
-    """Left rows with at least one partner (semi-join)."""
-    return per_left(left, right, {"_n": F.count("r")}, **options).where("_n > 0").drop("_n")
+    """Left rows with at least one partner: a semi-join of binned rows, which stops at a row's first partner in a bin."""
+    hits = _binned(left, right, "left_semi", **options)
+    return hits.dropDuplicates([_ID]).select(*left.columns)
 
 
 def copy_nonoverlapped(left: DataFrame, right: DataFrame, **options) -> DataFrame:
-    """Left rows without partner (anti-join)."""
-    return per_left(left, right, {"_n": F.count("r")}, **options).where("_n = 0").drop("_n")
+    """Left rows without partner: an anti-join of binned rows; a row stays if none of its bins has a partner."""
+    free = _binned(left, right, "left_anti", **options)
+    kept = [F.first(F.col(f"`{c}`")).alias(c) for c in left.columns]
+    x = free.groupBy(_ID).agg(F.count(F.lit(1)).alias("_free"), F.first("_bins").alias("_bins"), *kept)
+    return x.where("_free = _bins").select(*left.columns)
+
+
+def _binned(left: DataFrame, right: DataFrame, how: str, *, on: Sequence[str] = ("contig",), predicate: Callable[[R.Region, R.Region], Column] = R.overlaps,
+            width: int = BIN) -> DataFrame:
+    """Left rows by bin, with their number ``_ID`` and the count ``_bins`` of their bins, that have (or lack) a partner in the bin.
+
+    A pair may meet in several bins, which neither kind of join minds.
+    """
+    a = left.withColumn(_ID, F.monotonically_increasing_id()).withColumn("_all", bins(R.Region.of(), width))
+    a = a.withColumn("_bins", F.size("_all")).withColumn("_bin", F.explode("_all")).drop("_all")
+    b = right.select(*[F.col(f"`{k}`").alias(f"_r_{k}") for k in dict.fromkeys([*on, "start_pos", "end_pos"])])
+    x, y = R.Region.of(), R.Region(F.col("_r_start_pos"), F.col("_r_end_pos"))
+    b = b.withColumn("_bin_r", F.explode(bins(y, width)))
+    keys = F.col("_bin") == F.col("_bin_r")
+    for k in on:
+        keys = keys & (F.col(f"`{k}`") == F.col(f"_r_{k}"))
+    return a.join(b, keys & predicate(x, y), how)
 
 
 def count_overlapped(left: DataFrame, right: DataFrame, name: str = "n", **options) -> DataFrame:
@@ -97,25 +118,74 @@ def count_shared(left_pairs: DataFrame, items: DataFrame, item_id: list[str], **
 
 
 def first_after(left: DataFrame, right: DataFrame, fields: dict[str, Column], *, keys: list[str] = ("contig",), tile: int = 1 << 16) -> DataFrame:
-    """As-of join: for each left row, ``fields`` of the right row with the least begin at or after the left end.
+    """As-of join: for each left row, ``fields`` of the right row with the least begin at or after the left end (ties: least fields).
 
-    One pass over the union of both sides; within tiles the nearest row is a window value, and across
-    tiles a small table names the first right row of each tile and of the next tile that has one.
+    One pass over the union of both sides, from the right: within tiles the nearest row is a running value, and across
+    tiles a small table names the first right row of each tile and of the next tile that has one.  Columns stay flat, so
+    that only those in use are read and shuffled.
     """
     keys = list(keys)
+    mine = [c for c in left.columns if c not in keys]
     payload = F.struct(F.col("start_pos").alias("_b"), *[c.alias(k) for k, c in fields.items()])
-    r = right.select(*keys, F.col("start_pos").alias("_at"), F.lit(1).alias("_side"), payload.alias("_r"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_l"))
-    l = left.select(*keys, F.col("end_pos").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.struct("*").alias("_l"))
+    r = right.select(*keys, F.col("start_pos").alias("_at"), F.lit(1).alias("_side"), payload.alias("_r"),
+                     *[F.lit(None).cast(left.schema[c].dataType).alias(f"_l_{c}") for c in mine])
+    l = left.select(*keys, F.col("end_pos").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"),
+                    *[F.col(f"`{c}`").alias(f"_l_{c}") for c in mine])
     x = l.unionByName(r).withColumn("_tile", F.floor(F.col("_at") / tile))
-    w = W.partitionBy(*keys, "_tile").orderBy("_at", "_side").rowsBetween(0, W.unboundedFollowing)
-    x = x.withColumn("_hit", F.first("_r", ignorenulls=True).over(w)).where("_side = 0")
+    w = W.partitionBy(*keys, "_tile").orderBy(F.desc("_at"), F.desc("_side"), F.desc("_r")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    x = x.withColumn("_hit", F.last("_r", ignorenulls=True).over(w)).where("_side = 0")
     heads = r.withColumn("_tile", F.floor(F.col("_at") / tile)).groupBy(*keys, "_tile").agg(F.min("_r").alias("_head"))
-    tiles = x.select(*keys, "_tile").distinct().withColumn("_head", F.lit(None).cast(heads.schema["_head"].dataType)).unionByName(heads)
+    tiles = l.select(*keys, F.floor(F.col("_at") / tile).alias("_tile")).distinct().withColumn("_head", F.lit(None).cast(heads.schema["_head"].dataType)).unionByName(heads)
     tiles = tiles.groupBy(*keys, "_tile").agg(F.max("_head").alias("_head"))
-    later = W.partitionBy(*keys).orderBy("_tile").rowsBetween(1, W.unboundedFollowing)
-    tiles = tiles.withColumn("_later", F.first("_head", ignorenulls=True).over(later)).drop("_head")
+    later = W.partitionBy(*keys).orderBy(F.desc("_tile")).rowsBetween(W.unboundedPreceding, -1)
+    tiles = tiles.withColumn("_later", F.last("_head", ignorenulls=True).over(later)).drop("_head")
     out = x.join(tiles, [*keys, "_tile"], "left").withColumn("_best", F.coalesce("_hit", "_later"))
-    return out.select("_l.*", *[F.col(f"_best.{k}").alias(k) for k in fields])
+    return out.select(*[F.col(c) if c in keys else F.col(f"_l_{c}").alias(c) for c in left.columns], *[F.col(f"_best.{k}").alias(k) for k in fields])
+
+
+def find_first_shared(regions: DataFrame, items: DataFrame, region_id: str, *, keys: list[str] = ("contig",)) -> DataFrame:
+    """For each region, the first later region (by begin, end, id) that shares an item with it: ``first_shared``, null if none.
+
+    An item joins the regions it overlaps in order; consecutive ones of an item suffice, since the first later region
+    that shares an item with a region is its successor along some item.
+    """
+    keys = list(keys)
+    hits = interval_join(items, regions, on=keys).select(
+        F.struct("l.*").alias("_item"), F.struct(F.col("r.start_pos"), F.col("r.end_pos"), F.col(f"r.`{region_id}`").alias("id")).alias("_reg"))
+    hits = hits.groupBy("_item", "_reg").agg(F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy("_item").orderBy("_reg")
+    links = hits.withColumn("_next", F.lead("_reg").over(w)).where("_next is not null").groupBy(F.col("_reg.id").alias(region_id)).agg(F.min("_next").alias("_next"))
+    return regions.join(links, region_id, "left").withColumn("first_shared", F.col("_next.id")).drop("_next")
+
+
+def has_coverage(regions: DataFrame, items: DataFrame, name: str = "covered", **options) -> DataFrame:
+    """Regions with whether any non-empty item covers one of their positions."""
+    return has_overlapped(regions, items.where("end_pos > start_pos"), name, predicate=lambda a, b: R.overlap_size(a, b) > 0, **options)
+
+
+def join_if(df: DataFrame, test: Callable[[Column, Column], Column], columns: Sequence[str], keys: list[str] = ("contig",)) -> DataFrame:
+    """Runs of regions, in order, each of which ``test`` accepts beside its predecessor; tests see structs of ``columns``.
+
+    The window orders regions of one key, which should be few, as islands are (see :func:`islands` for many).
+    """
+    keys = list(keys)
+    me = F.struct(*columns)
+    order = W.partitionBy(*keys).orderBy("start_pos", "end_pos")
+    x = df.withColumn("_prev", F.lag(me).over(order)).withColumn("_me", me)
+    x = x.withColumn("_new", F.when(F.coalesce(test(F.col("_prev"), F.col("_me")), F.lit(False)), 0).otherwise(1))
+    x = x.withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return x.groupBy(*keys, "_run").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count(F.lit(1)).alias("n")).drop("_run")
+
+
+def bidirectionally_sorted_ranges(df: DataFrame, keys: list[str] = ("contig",)) -> DataFrame:
+    """Add ``range_no``: a new range begins where an end falls behind the largest end of the range so far.
+
+    An end that falls behind all earlier ends of the range also falls behind its neighbour's, for within a range ends ascend.
+    """
+    keys = list(keys)
+    order = W.partitionBy(*keys).orderBy("start_pos", "end_pos")
+    x = df.withColumn("_new", F.when(F.col("end_pos") < F.lag("end_pos").over(order), 1).otherwise(0))
+    return x.withColumn("range_no", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_new")
 
 
 def islands(df: DataFrame, keys: list[str] = ("contig",), *, merge_adjacent: bool = True, gap: int = 0, aggs: dict[str, Column] | None = None,
@@ -146,9 +216,14 @@ def mutually_exclusive_regions(df: DataFrame, keys: list[str] = ("contig",), **o
     return islands(df, keys, merge_adjacent=False, **options)
 
 
-def intervening_regions(df: DataFrame, keys: list[str] = ("contig",)) -> DataFrame:
-    """Gaps between covered regions.  The window orders islands, which are few, not the intervals."""
+def intervening_regions(df: DataFrame, keys: list[str] = ("contig",), within: DataFrame | None = None) -> DataFrame:
+    """Gaps between covered regions, or the positions of ``within`` (regions of the same keys) that none covers.
+
+    The window orders islands, which are few, not the intervals.
+    """
     keys = list(keys)
+    if within is not None:
+        return subtract(within.select(*keys, "start_pos", "end_pos"), df, keys)
     own = covered_regions(df, keys)
     w = W.partitionBy(*keys).orderBy("start_pos")
     return own.select(*keys, F.col("end_pos").alias("start_pos"), F.lead("start_pos").over(w).alias("end_pos")).where("end_pos is not null")

@@ -185,22 +185,46 @@ def five_prime(reverse: Column | None = None) -> Column:
     return F.when(col("reverse") if reverse is None else reverse, col("end_pos")).otherwise(col("start_pos"))
 
 
-def remove_duplicates(reads: DataFrame, *, policy: str = "relaxed", id_cols: list[str] = ("name",)) -> DataFrame:
-    """Of each group of duplicates the read with the largest sum of base qualities stays; ties by ``id_cols``.
+def duplicate_key(policy: str = "relaxed") -> list[Column]:
+    """What duplicates have in common.
 
     ``relaxed`` compares strand, region and cigar, ``aggressive`` strand, contig and five-prime position; both with
-    the mate's contig, state and template length.  Zero-width reads are never duplicates.
+    the sample and the mate's contig, state and template length.
     """
     mate = F.coalesce(F.concat_ws("|", "mate.contig", col("mate.unmapped").cast("string"), col("mate.reverse").cast("string"), col("mate.tlen").cast("string")), F.lit(""))
     key = [col("sample"), col("reverse"), col("contig"), F.when(col("mate").isNotNull(), mate).otherwise("none")]
-    key += [col("start_pos"), col("end_pos"), C.to_text(col("cigar"))] if policy == "relaxed" else [five_prime()]
+    return key + ([col("start_pos"), col("end_pos"), C.to_text(col("cigar"))] if policy == "relaxed" else [five_prime()])
+
+
+def remove_duplicates(reads: DataFrame, *, policy: str = "relaxed", id_cols: list[str] = ("name",)) -> DataFrame:
+    """Of each group of duplicates the read with the largest sum of base qualities stays; ties by ``id_cols``.
+
+    Zero-width reads are never duplicates.
+    """
     insertion = (col("start_pos") == col("end_pos"))
     score = F.aggregate("quals", F.lit(0), lambda a, q: a + q)
-    best = F.row_number().over(W.partitionBy(*key).orderBy(score.desc(), *[col(c) for c in id_cols]))
+    best = F.row_number().over(W.partitionBy(*duplicate_key(policy)).orderBy(score.desc(), *[col(c) for c in id_cols]))
     whole = reads.where(~insertion).withColumn("_rank", best).where("_rank = 1").drop("_rank")
     return whole.unionByName(reads.where(insertion))
 
 
+def with_duplicate_groups(reads: DataFrame, *, policy: str = "relaxed", name: str = "dup_group") -> DataFrame:
+    """Add the group of duplicates a read is in; null for reads without a duplicate."""
+    key = duplicate_key(policy)
+    n = F.count(F.lit(1)).over(W.partitionBy(*key))
+    return reads.withColumn(name, F.when((n > 1) & (col("start_pos") < col("end_pos")), F.xxhash64(*key)))
+
+
+def copy_to_region(reads: DataFrame, begin: Column, end: Column) -> DataFrame:
+    """Each read cut to [begin, end) of the reference: region, bases, qualities and cigar; reads outside of it go."""
+    b, e = F.greatest("start_pos", begin), F.least("end_pos", end)
+    x = reads.where((e > b) | ((e == b) & (col("start_pos") <= b))).withColumn("_b", b).withColumn("_e", e)
+    cut = C.section(col("cigar"), col("start_pos"), col("_b"), col("_e"))
+    x = x.withColumn("_cut", cut).withColumn("cigar", C.subregion(col("cigar"), col("start_pos"), col("_b"), col("_e")))
+    x = x.withColumn("seq", F.substr("seq", col("_cut.off") + 1, col("_cut.size"))).withColumn("quals", F.slice("quals", col("_cut.off") + 1, col("_cut.size")))
+    return x.withColumn("start_pos", col("_b")).withColumn("end_pos", col("_e")).drop("_b", "_e", "_cut")
+
+
 # --- transforms ---
 
 def _mask(test: Callable[[Column, Column], Column]) -> Column:

@@ -6,13 +6,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import alleles as A
+from ..functions import cigar as C
 from ..functions import numeric as N
 from ..operators import interval as I
 from ..operators.coverage import depth_at
+from ..operators.reads import with_duplicate_groups
+from ..sources.derive import ALIGNED_SQL, aligned
 from . import filters as X
 from . import genotypes as G
 from . import measures as M
 from . import phasing as P
+from .facets import contamination, support_rows, suspects, with_phase_length, with_reference_context, with_repeat_context
+from .haplotypes import repeat_table
 from .interval_queries import overlap_sql
 from .registry import register
 
@@ -62,22 +67,30 @@ SELECT call_id, bool_and(lq OR lg) AS is_filtered, concat_ws(';', CASE WHEN bool
 
 
 def facets(t):
-    calls = t("calls").select("call_id", "contig", "start_pos", "end_pos", F.lit("A").alias("ref"), F.array(F.lit("G"), F.lit("C")).alias("alts"), "qual", "pp", "mp", "is_somatic",
-                              F.lit(None).cast("double").alias("ppp"))
-    gts = t("calls").select("call_id", F.explode(F.array(F.lit("S0"), F.lit("S1"), F.lit("S2"))).alias("sample"), F.array("gt1", "gt2").alias("gt"), "gq", F.lit(2).alias("ploidy"))
-    raw = t("reads").withColumn("reverse", ~col("is_forward"))
-    reads = raw.where("mq >= 20").withColumn("cigar", F.when(col("clip") > 0, F.array(
-        F.struct(F.least(col("clip"), F.length("seq")).alias("size"), F.lit("S").alias("flag")), F.struct((F.length("seq") - F.least(col("clip"), F.length("seq"))).alias("size"), F.lit("M").alias("flag"))))
-        .otherwise(F.array(F.struct(F.length("seq").alias("size"), F.lit("M").alias("flag")))))
+    """Calls of one to three bases with two alternatives; genotypes that differ by sample, somatic ones with a third allele;
+    reads with clips and indels; support by the first base that a read shows on the call (a T is ambiguous)."""
+    ref = F.substr(F.lit("ACG"), F.lit(1), (col("call_id") % 3 + 1).cast("int"))
+    calls = t("calls").select(
+        "call_id", "contig", "start_pos", (col("end_pos") + col("call_id") % 3).alias("end_pos"), ref.alias("ref"),
+        F.array(F.concat(F.lit("G"), F.substr(ref, F.lit(2))), F.when(col("call_id") % 7 == 0, "C").otherwise(F.concat(F.lit("C"), F.substr(ref, F.lit(2))))).alias("alts"),
+        "qual", "pp", "mp", "is_somatic", (col("call_id") % 11 == 0).alias("is_denovo"), (col("pp") / 2).alias("ppp"))
+    gts = t("calls").select("call_id", "gt1", "gt2", "gq", "is_somatic", "mp", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("i"))
+    own = F.array((col("gt1") + col("i")) % 3, col("gt2"))
+    gts = gts.select("call_id", F.concat(F.lit("S"), col("i").cast("string")).alias("sample"),
+                     F.when(col("is_somatic") & (col("i") == 2), F.concat(own, F.array(F.lit(2)))).otherwise(own).alias("gt"), "gq", F.lit(2).alias("ploidy"),
+                     F.when(col("i") > 0, col("mp") + col("i")).alias("gt_mp"), (col("i") == 0).alias("is_child"))
+    raw = aligned(t)
+    reads = with_duplicate_groups(raw.where("mq >= 20"), policy="aggressive").withColumn("ln_likelihood", -(col("read_id") % 37) / 3.0)
     return calls, gts, reads, raw
 
 
 def support_of(calls, reads):
-    """Every overlapping read supports allele ``read_id % 4``; remainder 3 is ambiguous."""
-    x = I.interval_join(calls, reads).select("l.call_id", col("l.start_pos").alias("call_start"), "r.sample", (col("r.read_id") % 4).cast("int").alias("allele"), col("r.start_pos").alias("read_start"),
-                                             col("r.end_pos").alias("read_end"), "r.seq", "r.mq", "r.reverse", col("r.is_supplementary").alias("supplementary"), "r.cigar", "l.ref", "l.alts")
-    x = x.withColumn("allele_seq", F.get(F.concat(F.array("ref"), col("alts")), col("allele"))).drop("ref", "alts")
-    return x.where("allele < 3"), x.where("allele = 3").select("call_id", "sample")
+    x = I.interval_join(calls, reads)
+    cut = C.section(col("r.cigar"), col("r.start_pos"), col("l.start_pos"), col("l.end_pos"))
+    base = F.substr("r.seq", cut["off"] + 1, F.least(cut["size"], F.lit(1)))
+    x = x.withColumn("base", base).withColumn("allele", F.when(col("base") == "A", 0).when(col("base") == "G", 1).when(col("base") == "C", 2))
+    ambiguous = x.where("base = 'T'").select(col("l.call_id").alias("call_id"), col("r.sample").alias("sample"))
+    return support_rows(x.where("allele is not null")).withColumn("is_somatic_allele", col("allele") == 2), ambiguous
 
 
 def _measures(names):
@@ -88,40 +101,188 @@ def _measures(names):
     return plan
 
 
-_OV = f"""ov AS (SELECT c.call_id, r.* FROM calls c JOIN reads r ON {overlap_sql('c', 'r')}),
-gt AS (SELECT c.*, s FROM calls c, (SELECT unnest(['S0', 'S1', 'S2']) AS s)),
-d AS (SELECT call_id, sample, count(*) FILTER (WHERE mq >= 20) AS dp, count(*) AS raw, max(length(seq)) FILTER (WHERE mq >= 20) AS mrl,
-  count(*) FILTER (WHERE mq >= 20 AND read_id % 4 = 3) AS amb, count(*) FILTER (WHERE mq >= 20 AND read_id % 4 < 3) AS adp FROM ov GROUP BY call_id, sample)"""
-register("call_measures_by_sample", lambda t: _measures(["DP", "QD", "GQ", "GQD", "PPD", "MPD", "FRF", "MRL", "ARF", "ADP", "REFCALL", "SOMATIC", "SHC", "CC", "QUAL"])(t).select(
-    "call_id", "sample", col("DP").cast("long").alias("dp"), F.round("QD", 9).alias("qd"), "GQ", R6(col("GQD"), "gqd"), R6(col("PPD"), "ppd"), R6(col("MPD"), "mpd"), R6(col("FRF"), "frf"),
-    col("MRL").cast("long").alias("mrl"), R6(col("ARF"), "arf"), col("ADP").alias("adp"), "REFCALL", "SOMATIC", col("SHC").cast("long").alias("shc"), F.round("CC", 9).alias("cc")), f"""
-WITH {_OV}, x AS (SELECT gt.*, s AS sm, coalesce(dp, 0) AS dp, coalesce(raw, 0) AS raw, mrl, coalesce(amb, 0) AS amb, coalesce(adp, 0) AS adp FROM gt LEFT JOIN d ON d.call_id = gt.call_id AND d.sample = s)
-SELECT call_id, sm AS sample, dp, round(CASE WHEN dp > 0 THEN qual / dp END, 9) AS qd, CAST(gq AS DOUBLE) AS GQ, round(CASE WHEN dp > 0 THEN gq / dp END, 6) AS gqd,
-  round(CASE WHEN dp > 0 THEN pp / dp END, 6) AS ppd, round(CASE WHEN dp > 0 THEN mp / dp END, 6) AS mpd, round(CASE WHEN raw > 0 THEN 1 - dp / raw ELSE 0 END, 6) AS frf, mrl,
-  round(CASE WHEN dp > 0 THEN amb / dp END, 6) AS arf, adp, gt1 = 0 AND gt2 = 0 AS REFCALL, false AS SOMATIC, CAST(0 AS BIGINT) AS shc,
-  round(CASE WHEN qual <= 0 THEN 0 ELSE pp / qual END, 9) AS cc FROM x""", ("reads", "calls"))
+def _offset_sql(pos: str) -> str:
+    """Bases of a read in front of a reference position behind whose base insertions count."""
+    turn = "(start_pos + front + m1)"
+    return (f"least(greatest({pos} - start_pos, 0), front + m1) + CASE WHEN ins > 0 AND {turn} <= {pos} THEN ins ELSE 0 END"
+            f" + least(greatest({pos} - {turn} - del, 0), m2 + back)")
+
+
+_OV = ALIGNED_SQL + f""",
+rd AS (SELECT *, ins + del AS non_match, concat_ws('|', sample, reverse, contig, CASE WHEN reverse THEN end_pos ELSE start_pos END, CASE WHEN has_mate THEN
+    concat_ws('|', mate_contig, mate_unmapped, mate_reverse, tlen) ELSE 'none' END) AS dup_key FROM al WHERE mq >= 20),
+rg AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY dup_key) > 1 AND start_pos < end_pos THEN dup_key END AS dup_group FROM rd),
+c0 AS (SELECT call_id, contig, start_pos, end_pos + call_id % 3 AS end_pos, substring('ACG', 1, CAST(1 + call_id % 3 AS INT)) AS ref, qual, pp, mp, is_somatic, call_id % 11 = 0 AS is_denovo, gt1, gt2, gq FROM calls),
+ca AS (SELECT *, ['G' || substring(ref, 2), CASE WHEN call_id % 7 = 0 THEN 'C' ELSE 'C' || substring(ref, 2) END] AS alts FROM c0),
+gt AS (SELECT ca.*, 'S' || CAST(i AS VARCHAR) AS sample, i, list_concat([(gt1 + i) % 3, gt2], CASE WHEN is_somatic AND i = 2 THEN [2] ELSE [] END) AS gt FROM ca, (SELECT unnest([0, 1, 2]) AS i)),
+ov AS (SELECT c.call_id, c.start_pos AS cs, c.end_pos AS ce, c.ref, c.alts, r.* FROM ca c JOIN rg r ON {overlap_sql('c', 'r')}),
+o2 AS (SELECT *, {_offset_sql('cs')} AS off, {_offset_sql('ce')} AS upto FROM ov),
+o3 AS (SELECT *, substring(seq, CAST(off + 1 AS INT), CAST(upto - off AS INT)) AS sec FROM o2),
+o4 AS (SELECT *, CASE sec[1:1] WHEN 'A' THEN 0 WHEN 'G' THEN 1 WHEN 'C' THEN 2 END AS a FROM o3),
+o5 AS (SELECT o4.*, gt.gt, is_somatic, list_concat([o4.ref], o4.alts)[a + 1] AS allele_seq, o4.start_pos <= cs AND ce <= o4.end_pos AS inside FROM o4 JOIN gt ON gt.call_id = o4.call_id AND gt.sample = o4.sample
+  WHERE a IS NOT NULL AND list_contains(gt.gt, a)),
+o6 AS (SELECT *, NOT inside AND start_pos >= cs AS backwards, CAST(least(length(sec), length(allele_seq)) AS INT) AS nc FROM o5),
+sp AS (SELECT *, CASE WHEN backwards THEN right(sec, nc) ELSE left(sec, nc) END AS s1, CASE WHEN backwards THEN right(allele_seq, nc) ELSE left(allele_seq, nc) END AS s2 FROM o6),
+ps AS (SELECT call_id, contig, unnest(range(start_pos, end_pos)) AS p FROM ca),
+dp AS (SELECT call_id, sample, max(n) AS dp, max(n_raw) AS raw FROM (SELECT call_id, p, r.sample, count(*) FILTER (WHERE mq >= 20) AS n, count(*) AS n_raw
+  FROM ps JOIN al r ON r.contig = ps.contig AND r.start_pos <= p AND p < r.end_pos GROUP BY ALL) GROUP BY ALL),
+rs AS (SELECT call_id, sample, count(*) AS n, max(length(seq)) AS mrl, count(*) FILTER (WHERE sec[1:1] = 'T') AS amb, count(*) FILTER (WHERE NOT reverse) AS fw, count(*) FILTER (WHERE reverse) AS rv FROM o3 GROUP BY ALL)"""
+_BY_SAMPLE = ["DP", "QD", "GQ", "GQD", "PPD", "MP", "MPD", "FRF", "MRL", "ARF", "ADP", "REFCALL", "SOMATIC", "SHC", "CC", "PP", "PPP", "VL", "DENOVO", "MC", "MF", "BMC", "BMF", "BMQ", "SMQ", "MRC"]
+register("call_measures_by_sample", lambda t: _measures(_BY_SAMPLE)(t).select(
+    "call_id", "sample", *[F.round(c, 6).alias(c.lower()) for c in ("QD", "GQD", "PPD", "MP", "MPD", "FRF", "ARF", "CC", "PP", "PPP", "MF", "BMF", "SMQ", "GQ")],
+    *[col(c).cast("long").alias(c.lower()) for c in ("DP", "MRL", "ADP", "SHC", "VL", "MC", "BMC", "BMQ", "MRC")], *[col(c).alias(c.lower()) for c in ("REFCALL", "SOMATIC", "DENOVO")]), f"""
+WITH {_OV},
+m AS (SELECT call_id, sample, count(*) AS adp, count(*) FILTER (WHERE CASE WHEN inside THEN sec <> allele_seq ELSE length(sec) > length(allele_seq) OR s1 <> s2 END) AS mc,
+  CAST(sum(list_sum(list_transform(range(1, nc + 1), lambda i: CAST(s1[i:i] <> s2[i:i] AS INT)))) AS BIGINT) AS bmc,
+  median(list_min(list_transform(list_filter(range(1, nc + 1), lambda i: s1[i:i] <> s2[i:i]), lambda i: quals[CAST(off + i + CASE WHEN backwards THEN greatest(least(greatest(upto - off, 1), n_quals - off), 0) - nc ELSE 0 END AS INT)]))) AS bmq,
+  median(mq) FILTER (WHERE a = 2 AND is_somatic) AS smq, count(*) FILTER (WHERE non_match > 5 * ceil(list_sum(list_transform(quals, lambda q: pow(10.0, -(q // 10)))))) AS mrc FROM sp GROUP BY ALL),
+x AS (SELECT gt.*, coalesce(dp.dp, 0) AS d, coalesce(dp.raw, 0) AS dr, rs.n, rs.mrl, coalesce(rs.amb, 0) AS amb, coalesce(m.adp, 0) AS adp, coalesce(m.mc, 0) AS mc, coalesce(m.bmc, 0) AS bmc, m.bmq, m.smq, coalesce(m.mrc, 0) AS mrc,
+  CASE WHEN i > 0 THEN mp + i ELSE mp END AS own_mp, list_max(list_transform(gt.gt, lambda g: greatest(length(list_concat([ref], alts)[g + 1]), end_pos - start_pos))) AS vl
+  FROM gt LEFT JOIN dp ON dp.call_id = gt.call_id AND dp.sample = gt.sample LEFT JOIN rs ON rs.call_id = gt.call_id AND rs.sample = gt.sample LEFT JOIN m ON m.call_id = gt.call_id AND m.sample = gt.sample)
+SELECT call_id, sample, round(CASE WHEN d > 0 THEN qual / d END, 6) AS qd, round(CASE WHEN d > 0 THEN gq / d END, 6) AS gqd, round(CASE WHEN d > 0 THEN pp / d END, 6) AS ppd, own_mp AS mp,
+  round(CASE WHEN d > 0 THEN own_mp / d END, 6) AS mpd, round(CASE WHEN dr > 0 THEN 1 - d / dr ELSE 0 END, 6) AS frf, round(amb / n, 6) AS arf, round(CASE WHEN qual <= 0 THEN 0 ELSE pp / qual END, 6) AS cc,
+  pp, pp / 2 AS ppp, round(CASE WHEN d > 0 THEN mc / d ELSE 0 END, 6) AS mf, round(CASE WHEN d * vl > 0 THEN bmc / (d * vl) ELSE 0 END, 6) AS bmf, smq, CAST(gq AS DOUBLE) AS gq,
+  d AS dp, mrl, adp, CASE WHEN is_somatic THEN len(gt) - 2 ELSE 0 END AS shc, vl, mc, bmc, CAST(floor(bmq) AS BIGINT) AS bmq, mrc,
+  list_max(gt) = 0 AS refcall, is_somatic AND len(gt) > 2 AND list_max(gt) > 0 AS somatic, is_denovo AND i = 0 AS denovo FROM x""", ("aligned", "calls"))
 register("call_measures_pooled", lambda t: _measures(["MQ", "MQ0", "CRF"])(t).select("call_id", "sample", R6(col("MQ"), "mq"), col("MQ0").alias("mq0"), R6(col("CRF"), "crf")), f"""
-WITH {_OV}, p AS (SELECT call_id, sqrt(avg(mq * mq)) AS mq, count(*) FILTER (WHERE mq = 0) AS mq0,
-  count(*) FILTER (WHERE clip > 0 AND least(clip, length(seq)) / length(seq) > 0.25) / count(*) AS crf FROM ov WHERE mq >= 20 GROUP BY call_id)
-SELECT gt.call_id, s AS sample, round(mq, 6) AS mq, coalesce(mq0, 0) AS mq0, round(crf, 6) AS crf FROM gt LEFT JOIN p ON p.call_id = gt.call_id""", ("reads", "calls"))
-register("call_measures_by_allele", lambda t: _measures(["AD", "AF", "AFB", "AMQ", "AC", "ITV"])(t).select(
-    "call_id", "sample", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(2)).alias("i"), "AD", "AF", "AFB", "AMQ", "AC", "ITV")).alias("z")).select(
-    "call_id", "sample", col("z.i").cast("long").alias("allele"), col("z.AD").alias("ad"), R6(col("z.AF"), "af"), R6(col("z.AFB"), "afb"), col("z.AMQ").alias("amq"), col("z.AC").cast("long").alias("ac"), col("z.ITV").alias("itv")), f"""
-WITH {_OV}, al AS (SELECT gt.*, a FROM gt, (SELECT unnest([0, 1, 2]) AS a)),
-u AS (SELECT call_id, sample, read_id % 4 AS a, count(*) AS ad, median(mq) AS amq FROM ov WHERE mq >= 20 AND read_id % 4 < 3 GROUP BY ALL),
-x AS (SELECT al.*, s AS sm, u.ad, u.amq, coalesce(d.adp, 0) AS adp FROM al LEFT JOIN u ON u.call_id = al.call_id AND u.sample = s AND u.a = al.a LEFT JOIN d ON d.call_id = al.call_id AND d.sample = s),
-y AS (SELECT *, CASE WHEN adp = 0 THEN 1.0 ELSE coalesce(ad, 0) / adp END AS af, CAST(gt1 = a AS INT) + CAST(gt2 = a AS INT) AS n FROM x)
-SELECT call_id, sm AS sample, CAST(a AS BIGINT) AS allele, ad, round(af, 6) AS af, round(abs(n / 2 - af), 6) AS afb, amq, CASE WHEN a > 0 THEN n END AS ac, CASE WHEN a > 0 THEN a = 2 END AS itv FROM y""", ("reads", "calls"))
-register("call_measures_bias", lambda t: _measures(["SB", "SD", "MQD", "RSB", "REB", "RTB", "SF", "ER", "ERS", "DAD", "DAF", "DPC", "MC", "BMC"])(t))
+WITH {_OV}, p AS (SELECT call_id, sqrt(avg(mq * mq)) AS mq, count(*) FILTER (WHERE mq = 0) AS mq0, count(*) FILTER (WHERE (front + back) / len > 0.25) / count(*) AS crf FROM ov GROUP BY call_id)
+SELECT gt.call_id, sample, round(p.mq, 6) AS mq, coalesce(mq0, 0) AS mq0, round(crf, 6) AS crf FROM gt LEFT JOIN p ON p.call_id = gt.call_id""", ("aligned", "calls"))
+_BY_ALLELE = ["AD", "AF", "AFB", "AMQ", "AC", "ITV", "BQ", "ER", "ERS", "DAD", "DAF", "MHL"]
+_ALLELES = """
+al3 AS (SELECT gt.*, a, list_concat([ref], alts)[a + 1] AS seq_a, list_contains(gt, a) AS called FROM gt, (SELECT unnest([0, 1, 2]) AS a)),
+u AS (SELECT call_id, sample, a, count(*) AS ad, median(mq) AS amq, median(list_min(quals[CAST(off + 1 AS INT):CAST(off + greatest(upto - off, 1) AS INT)])) AS bq, sum(non_match) / sum(len) AS er,
+  stddev_pop(non_match / len) AS ers, floor(avg(floor(read_id % 37 / 3.0 * 10 / ln(10)))) AS mhl FROM sp GROUP BY ALL),
+dg AS (SELECT call_id, sample, a, CAST(sum(CASE WHEN n > 1 THEN n - 1 ELSE 1 END) AS BIGINT) AS dad FROM (SELECT call_id, sample, a, dup_group, count(*) AS n FROM sp WHERE dup_group IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+ad AS (SELECT call_id, sample, count(*) AS adp FROM sp GROUP BY ALL),
+y AS (SELECT al3.*, CASE WHEN called THEN coalesce(u.ad, 0) END AS ad, amq, bq, er, ers, mhl, CASE WHEN called THEN coalesce(dad, 0) END AS dad, coalesce(ad.adp, 0) AS adp, len(list_filter(gt, lambda g: g = al3.a)) AS copies
+  FROM al3 LEFT JOIN u ON u.call_id = al3.call_id AND u.sample = al3.sample AND u.a = al3.a LEFT JOIN dg ON dg.call_id = al3.call_id AND dg.sample = al3.sample AND dg.a = al3.a
+  LEFT JOIN ad ON ad.call_id = al3.call_id AND ad.sample = al3.sample),
+z AS (SELECT *, CASE WHEN called THEN CASE WHEN adp = 0 THEN 1.0 ELSE ad / adp END END AS af FROM y)"""
+register("call_measures_by_allele", lambda t: _measures(_BY_ALLELE)(t).select(
+    "call_id", "sample", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(2)).alias("i"), *_BY_ALLELE)).alias("z")).select(
+    "call_id", "sample", col("z.i").cast("long").alias("allele"), *[F.round(f"z.{c}", 6).alias(c.lower()) for c in ("AF", "AFB", "AMQ", "ER", "ERS", "DAF")],
+    *[col(f"z.{c}").cast("long").alias(c.lower()) for c in ("AD", "AC", "BQ", "DAD", "MHL")], col("z.ITV").alias("itv")), f"""
+WITH {_OV}, {_ALLELES}
+SELECT call_id, sample, CAST(a AS BIGINT) AS allele, round(af, 6) AS af, round(abs(copies / len(gt) - af), 6) AS afb, amq, round(er, 6) AS er, round(ers, 6) AS ers,
+  round(CASE WHEN ad > 0 THEN dad / ad WHEN called THEN 0 END, 6) AS daf, ad, CASE WHEN a > 0 THEN copies END AS ac, CASE WHEN length(seq_a) = length(ref) THEN CAST(floor(bq) AS BIGINT) END AS bq, dad, CAST(mhl AS BIGINT) AS mhl,
+  CASE WHEN a > 0 THEN length(ref) = 1 AND a = 2 END AS itv FROM z""", ("aligned", "calls"))
+_CDF = "list_sum(list_transform(range({a}, {a} + {b}), lambda j: exp(lgamma({a} + {b}) - lgamma(j + 1) - lgamma({a} + {b} - j) + j * ln({x}) + ({a} + {b} - 1 - j) * ln(1 - {x}))))"
+_TAIL = ("exp({a} * ln(0.01) + {b} * ln(0.99) - ln({a}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b})) * (1 + list_sum(list_transform(range(0, 40), "
+         "lambda n: exp(lgamma({a} + 1) + lgamma({a} + {b} + n + 1) - lgamma({a} + n + 2) - lgamma({a} + {b}) + (n + 1) * ln(0.01)))))")
+_BIAS = ["SB", "SD", "MQD", "RSB", "REB", "RTB", "SF", "DPC"]
+register("call_measures_bias", lambda t: _measures(_BIAS)(t).select("call_id", "sample", *[F.round(col(c).cast("double"), 5).alias(c.lower()) for c in _BIAS]), f"""
+WITH {_OV},
+h AS (SELECT *, (end_pos - start_pos) // 2 AS half, greatest(floor(len * 0.03), 1) AS eb FROM sp),
+k AS (SELECT *, ce - cs >= half AS large, least(ce, end_pos) > greatest(cs, start_pos + half) AS rhs, cs >= start_pos AND ce <= start_pos + eb AS head, cs >= end_pos - eb AND ce <= end_pos AS tail FROM h),
+c AS (SELECT call_id, sample, a, count(*) AS n, count(*) FILTER (WHERE NOT reverse) AS nf, count(*) FILTER (WHERE reverse) AS nr, median(mq) AS mq, count(*) FILTER (WHERE supplementary) AS ns,
+  count(*) FILTER (WHERE large OR NOT rhs) AS nl, count(*) FILTER (WHERE large OR rhs) AS nri, count(*) FILTER (WHERE inside AND (head OR tail)) AS ne, count(*) FILTER (WHERE inside AND NOT (head OR tail)) AS nm,
+  count(*) FILTER (WHERE inside AND CASE WHEN reverse THEN head ELSE tail END) AS nt, count(*) FILTER (WHERE inside AND NOT CASE WHEN reverse THEN head ELSE tail END) AS nh FROM k GROUP BY ALL),
+g AS (SELECT call_id, sample, gt, unnest(list_distinct(gt)) AS a FROM gt),
+e AS (SELECT g.*, coalesce(n, 0) AS n, coalesce(nf, 0) AS nf, coalesce(nr, 0) AS nr, mq, coalesce(ns, 0) AS ns, coalesce(nl, 0) + 1 AS b1, coalesce(nri, 0) + 1 AS b2, coalesce(nm, 0) + 1 AS b3, coalesce(ne, 0) + 1 AS b4,
+  coalesce(nh, 0) + 1 AS b5, coalesce(nt, 0) + 1 AS b6 FROM g LEFT JOIN c ON c.call_id = g.call_id AND c.sample = g.sample AND c.a = g.a),
+f AS (SELECT call_id, sample, max(floor(mq)) - min(floor(mq)) AS mqd, max({_CDF.format(a='b1', b='b2', x='0.25')} + 1 - {_CDF.format(a='b1', b='b2', x='0.75')}) AS rsb,
+  max({_CDF.format(a='b3', b='b4', x='0.09')}) AS reb, max({_CDF.format(a='b5', b='b6', x='0.09')}) AS rtb, max(CASE WHEN a = 1 AND n > 0 THEN ns / n END) AS x1, max(CASE WHEN a = 2 AND n > 0 THEN ns / n END) AS x2,
+  bool_or(n > 0) AS any_n FROM e GROUP BY ALL),
+fr AS (SELECT DISTINCT nf, nr FROM e),
+w0 AS (SELECT nf, nr, i, nf * ln((i + 0.5) / 200) + nr * ln(1 - (i + 0.5) / 200) AS l FROM fr, (SELECT unnest(range(200)) AS i)),
+w1 AS (SELECT *, exp(l - max(l) OVER (PARTITION BY nf, nr)) AS v FROM w0),
+w AS (SELECT nf, nr, i, v / sum(v) OVER (PARTITION BY nf, nr) AS w, sum(v) OVER (PARTITION BY nf, nr ORDER BY i) / sum(v) OVER (PARTITION BY nf, nr) AS cum FROM w1),
+pr AS (SELECT x.call_id, x.sample, x.nf AS f1, x.nr AS r1, y.nf AS f2, y.nr AS r2 FROM e x JOIN e y ON x.call_id = y.call_id AND x.sample = y.sample AND x.a < y.a),
+q AS (SELECT DISTINCT f1, r1, f2, r2 FROM pr),
+df AS (SELECT f1, r1, f2, r2, sum(a.w * (coalesce(lo.cum, 0) + 1 - coalesce(hi.cum, 1))) AS p FROM q JOIN w a ON a.nf = f1 AND a.nr = r1 LEFT JOIN w lo ON lo.nf = f2 AND lo.nr = r2 AND lo.i = a.i - 51
+  LEFT JOIN w hi ON hi.nf = f2 AND hi.nr = r2 AND hi.i = a.i + 50 GROUP BY ALL),
+sb AS (SELECT call_id, sample, max(p) AS sb FROM pr JOIN df USING (f1, r1, f2, r2) GROUP BY ALL),
+x AS (SELECT gt.*, coalesce(rs.fw, 0) + 0.5 AS fa, coalesce(rs.rv, 0) + 0.5 AS ra FROM gt LEFT JOIN rs ON rs.call_id = gt.call_id AND rs.sample = gt.sample)
+SELECT x.call_id, x.sample, round(CASE WHEN len(list_distinct(gt)) > 1 THEN sb.sb END, 5) AS sb, round({_TAIL.format(a='fa', b='ra')} + {_TAIL.format(a='ra', b='fa')}, 5) AS sd,
+  CASE WHEN len(list_distinct(gt)) > 1 THEN mqd END AS mqd, round(rsb, 5) AS rsb, round(reb, 5) AS reb, round(rtb, 5) AS rtb,
+  round(CASE WHEN list_max(gt) > 0 THEN coalesce(x1, 0) + CASE WHEN x2 IS NULL THEN 0 ELSE greatest(coalesce(x1, 0), x2) END END, 5) AS sf, CASE WHEN any_n THEN CAST(1 AS DOUBLE) END AS dpc
+FROM x LEFT JOIN f ON f.call_id = x.call_id AND f.sample = x.sample LEFT JOIN sb ON sb.call_id = x.call_id AND sb.sample = x.sample""", ("aligned", "calls"))
 register("forest_features", lambda t: X.features(_measures(["QUAL", "DP", "MQ", "AD", "AF", "GQ"])(t), ["QUAL", "DP", "MQ", "AD", "AF", "GQ"]).select(
     "call_id", "sample", "QUAL", "DP", R6(col("MQ"), "MQ"), "AD", R6(col("AF"), "AF"), "GQ"), f"""
-WITH {_OV}, p AS (SELECT call_id, sqrt(avg(mq * mq)) AS mq FROM ov WHERE mq >= 20 GROUP BY call_id),
-u AS (SELECT call_id, sample, count(*) FILTER (WHERE read_id % 4 = 1) AS a1, count(*) FILTER (WHERE read_id % 4 = 2) AS a2, count(*) AS n FROM ov WHERE mq >= 20 AND read_id % 4 < 3 GROUP BY ALL)
-SELECT gt.call_id, s AS sample, qual AS QUAL, CAST(coalesce(dp, 0) AS DOUBLE) AS DP, round(coalesce(p.mq, -1.0), 6) AS MQ, CAST(coalesce(least(nullif(a1, 0), nullif(a2, 0)), -1) AS DOUBLE) AS AD,
-  round(CASE WHEN coalesce(u.n, 0) = 0 THEN 1.0 ELSE least(a1, a2) / u.n END, 6) AS AF, CAST(gq AS DOUBLE) AS GQ
-FROM gt LEFT JOIN d ON d.call_id = gt.call_id AND d.sample = s LEFT JOIN p ON p.call_id = gt.call_id LEFT JOIN u ON u.call_id = gt.call_id AND u.sample = s""", ("reads", "calls"))
-register("call_depth_and_counts", lambda t: depth_at(t("calls"), t("reads"), {"n": F.count("r")}).select("call_id", "max_depth", "n"),
-         f"SELECT c.call_id, count(r.read_id) AS max_depth, count(r.read_id) AS n FROM calls c LEFT JOIN reads r ON {overlap_sql('c', 'r')} GROUP BY c.call_id", ("reads", "calls"))
+WITH {_OV}, {_ALLELES}, p AS (SELECT call_id, sqrt(avg(mq * mq)) AS mq FROM ov GROUP BY call_id),
+v AS (SELECT call_id, sample, min(ad) FILTER (WHERE a > 0) AS ad, min(af) FILTER (WHERE a > 0) AS af FROM z GROUP BY ALL)
+SELECT gt.call_id, gt.sample, qual AS QUAL, CAST(coalesce(dp.dp, 0) AS DOUBLE) AS DP, round(coalesce(p.mq, -1.0), 6) AS MQ, CAST(coalesce(v.ad, -1) AS DOUBLE) AS AD, round(coalesce(v.af, -1.0), 6) AS AF, CAST(gq AS DOUBLE) AS GQ
+FROM gt LEFT JOIN dp ON dp.call_id = gt.call_id AND dp.sample = gt.sample LEFT JOIN p ON p.call_id = gt.call_id LEFT JOIN v ON v.call_id = gt.call_id AND v.sample = gt.sample""", ("aligned", "calls"))
+register("call_depth_and_counts", lambda t: depth_at(t("calls").withColumn("end_pos", col("end_pos") + col("call_id") % 3), t("reads"), {"n": F.count("r")}).select("call_id", "max_depth", "n"), f"""
+WITH c AS (SELECT call_id, contig, start_pos, end_pos + call_id % 3 AS end_pos FROM calls), p AS (SELECT call_id, contig, unnest(range(start_pos, end_pos)) AS p FROM c),
+d AS (SELECT call_id, max(n) AS n FROM (SELECT call_id, p, count(*) AS n FROM p JOIN reads r ON r.contig = p.contig AND r.start_pos <= p AND p < r.end_pos GROUP BY ALL) GROUP BY call_id),
+n AS (SELECT c.call_id, count(r.read_id) AS n FROM c LEFT JOIN reads r ON {overlap_sql('c', 'r')} GROUP BY c.call_id)
+SELECT call_id, coalesce(d.n, 0) AS max_depth, n.n FROM n LEFT JOIN d USING (call_id)""", ("reads", "calls"))
+
+# --- measures from the reference, repeats, phase blocks and contamination ---
+
+
+def reference(t):
+    """Pieces of 256 bases, as many as there are parts; contigs end where the pieces do."""
+    bases = F.concat(*[F.md5(F.concat(F.lit(f"{i}/"), col("p_partkey").cast("string"))) for i in range(8)])
+    k = F.floor(col("p_partkey") / 5)
+    return t("part").select((col("p_partkey") % 5).cast("string").alias("contig"), k.cast("int").alias("chunk"), (k * 256).alias("chunk_start"), F.translate(bases, "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
+
+
+_REFERENCE = """rf AS (SELECT CAST(p_partkey % 5 AS VARCHAR) AS contig, p_partkey // 5 AS chunk, translate(md5('0/' || CAST(p_partkey AS VARCHAR)) || md5('1/' || CAST(p_partkey AS VARCHAR)) || md5('2/' || CAST(p_partkey AS VARCHAR)) ||
+  md5('3/' || CAST(p_partkey AS VARCHAR)) || md5('4/' || CAST(p_partkey AS VARCHAR)) || md5('5/' || CAST(p_partkey AS VARCHAR)) || md5('6/' || CAST(p_partkey AS VARCHAR)) || md5('7/' || CAST(p_partkey AS VARCHAR)),
+  '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM part),
+bs AS (SELECT contig, chunk * 256 + i - 1 AS p, seq[i:i] AS b FROM (SELECT *, unnest(range(1, 257)) AS i FROM rf))"""
+_REPEATS = """rp AS (WITH eq AS (SELECT a.contig, a.p, q.q FROM bs a JOIN (SELECT unnest([1, 2, 3]) AS q) q ON true JOIN bs b ON b.contig = a.contig AND b.p = a.p + q.q AND b.b = a.b),
+  isl AS (SELECT *, p - row_number() OVER (PARTITION BY contig, q ORDER BY p) AS g FROM eq), run AS (SELECT contig, q, min(p) AS s, max(p) + 1 + q AS e FROM isl GROUP BY contig, q, g HAVING count(*) >= 2 * q)
+  SELECT run.contig, s AS start_pos, e AS end_pos, CAST(q AS BIGINT) AS period FROM run JOIN bs x ON x.contig = run.contig AND x.p = s JOIN bs y ON y.contig = run.contig AND y.p = s + 1 JOIN bs w ON w.contig = run.contig AND w.p = s + 2
+  WHERE q = 1 OR NOT (x.b = y.b AND (q = 2 OR y.b = w.b)))"""
+
+
+def repeats(t):
+    return repeat_table(reference(t), max_period=3, min_periods=3)
+
+
+register("reference_repeats", lambda t: repeats(t).withColumn("period", col("period").cast("long")), f"""
+WITH {_REFERENCE}, {_REPEATS} SELECT contig, start_pos, end_pos, period FROM rp""")
+
+
+def context_calls(t):
+    calls, gts, *_ = facets(t)
+    calls = with_repeat_context(with_reference_context(calls, reference(t), chunk=256), repeats(t), gts)
+    return M.evaluate(M.Facets(calls, gts), ["GC", "STRL", "STRP"]).where("sample = 'S0'").select("call_id", R6(col("GC"), "gc"), col("STRL").cast("long").alias("strl"), col("STRP").cast("long").alias("strp"))
+
+
+register("call_context_measures", context_calls, f"""
+WITH {_OV}, {_REFERENCE}, {_REPEATS},
+cx AS (SELECT call_id, count(*) FILTER (WHERE b IN ('G', 'C')) AS gc FROM (SELECT call_id, b FROM ca JOIN bs ON bs.contig = ca.contig AND p >= greatest(start_pos - 50, 0) AND p < end_pos + 50) GROUP BY call_id),
+cg AS (SELECT call_id, list_distinct(flatten(list(gt))) AS called FROM gt GROUP BY call_id),
+al2 AS (SELECT ca.call_id, unnest(called) AS a FROM ca JOIN cg USING (call_id)),
+ar AS (SELECT call_id, ca.contig, start_pos + CASE WHEN a > 0 AND length(alts[a]) <> length(ref) AND alts[a][1:1] = ref[1:1] OR a = 0 AND len(list_filter(alts, lambda x: length(x) <> length(ref) AND x[1:1] = ref[1:1])) > 0 THEN 1 ELSE 0 END AS b,
+  end_pos AS e FROM ca JOIN al2 USING (call_id)),
+jn AS (SELECT c.call_id, c.start_pos AS cs, c.end_pos AS ce, r.* FROM ca c JOIN rp r ON r.contig = c.contig AND r.start_pos <= c.end_pos + 1 AND r.end_pos >= greatest(c.start_pos - 1, 0)),
+ht AS (SELECT jn.*, EXISTS (SELECT 1 FROM ar WHERE ar.call_id = jn.call_id AND (least(ar.e, jn.end_pos) - greatest(ar.b, jn.start_pos) > 0 OR least(ar.e, jn.end_pos) = greatest(ar.b, jn.start_pos) AND ar.b = ar.e)) AS hit FROM jn
+  WHERE least(jn.end_pos, ce + 1) - greatest(jn.start_pos, greatest(cs - 1, 0)) > 0),
+ch AS (SELECT call_id, end_pos - start_pos AS size, period, row_number() OVER (PARTITION BY call_id ORDER BY least(end_pos, ce) - greatest(greatest(start_pos - 1, 0), cs) DESC, end_pos DESC, start_pos, period) AS k FROM ht
+  WHERE hit AND greatest(start_pos - 1, 0) <= cs AND ce <= end_pos + 1),
+fb AS (SELECT call_id, end_pos - start_pos AS size, period, hit, row_number() OVER (PARTITION BY call_id ORDER BY least(end_pos, ce) - greatest(start_pos, cs) DESC, start_pos, end_pos, period) AS k FROM ht WHERE least(end_pos, ce) - greatest(start_pos, cs) > 0)
+SELECT ca.call_id, round(coalesce(gc, 0) / (end_pos + 50 - greatest(start_pos - 50, 0)), 6) AS gc, coalesce(ch.size, CASE WHEN NOT fb.hit THEN fb.size END, 0) AS strl, coalesce(ch.period, CASE WHEN NOT fb.hit THEN fb.period END, 0) AS strp
+FROM ca LEFT JOIN cx USING (call_id) LEFT JOIN ch ON ch.call_id = ca.call_id AND ch.k = 1 LEFT JOIN fb ON fb.call_id = ca.call_id AND fb.k = 1""", ("aligned", "calls", "sites"))
+
+
+def phase_lengths(t):
+    calls, gts, *_ = facets(t)
+    gts = gts.withColumn("phase_set", F.when(col("call_id") % 4 > 0, F.floor(col("call_id") / 16)))
+    return M.evaluate(M.Facets(calls, with_phase_length(gts, calls)), ["PLN"]).select("call_id", "sample", col("PLN").alias("pln"))
+
+
+register("call_phase_lengths", phase_lengths, """
+WITH g AS (SELECT call_id, contig, start_pos, end_pos + call_id % 3 AS end_pos, CASE WHEN call_id % 4 > 0 THEN call_id // 16 END AS ps, s FROM calls, (SELECT unnest(['S0', 'S1', 'S2']) AS s))
+SELECT call_id, s AS sample, CASE WHEN ps IS NULL THEN end_pos - start_pos ELSE max(end_pos) OVER w - min(start_pos) OVER w END AS pln FROM g WINDOW w AS (PARTITION BY s, contig, ps)""", ("calls",))
+
+
+def contaminations(t):
+    """Each block as a call; the third sample is the child, or the tumour, and the others are parents, or normals."""
+    lk = likelihoods(t).withColumnRenamed("block_id", "call_id")
+    gts = lk.select("call_id").distinct().select("call_id", F.explode(F.array(*[F.struct(F.lit(s).alias("sample"), h.alias("haplotype_ids")) for s, h in (
+        ("S0", F.array(F.lit(0), (col("call_id") % 2).cast("int"))), ("S1", F.array(F.lit(0), F.lit(1))), ("S2", F.array((col("call_id") % 2).cast("int"), F.lit(2))))])).alias("g")).select("call_id", "g.*")
+    watched = col("sample") != "S2"
+    share = contamination(lk, gts.where(watched), suspects(gts, watched))
+    calls = gts.select("call_id").distinct().join(share, "call_id", "left").select(
+        "call_id", F.lit("A").alias("ref"), F.array(F.lit("G")).alias("alts"), (col("call_id") % 3 > 0).alias("is_denovo"), (col("call_id") % 3 == 0).alias("is_somatic"),
+        col("contamination").alias("denovo_contamination"), col("contamination").alias("normal_contamination"))
+    return M.evaluate(M.Facets(calls, gts.withColumn("gt", col("haplotype_ids"))), ["DC", "NC"]).where("sample = 'S2'").select("call_id", R6(col("DC"), "dc"), R6(col("NC"), "nc"))
+
 
 # --- variants ---
 register("variant_classes", lambda t: t("sites").select("site_id", A.variant_class(col("ref"), col("alt")).alias("kind"), A.indel_size(col("ref"), col("alt")).cast("long").alias("indel_size"),
@@ -219,6 +380,14 @@ WITH {_LIK}, b AS (SELECT block_id, sample, read_id, ln_p, max(ln_p) OVER (PARTI
 t AS (SELECT block_id, sample, read_id, count(*) AS ties FROM b WHERE abs(ln_p - m) < 1e-9 GROUP BY ALL)
 SELECT block_id, sample, count(*) FILTER (WHERE ties > 1) AS n_ambiguous, count(*) AS n FROM t GROUP BY block_id, sample""", ("reads",))
 
+register("call_contamination", contaminations, f"""
+WITH {_LIK},
+pv AS (SELECT block_id, sample, read_id, max(ln_p) FILTER (WHERE haplotype_id = 0) AS l0, max(ln_p) FILTER (WHERE haplotype_id = 1) AS l1, max(ln_p) FILTER (WHERE haplotype_id = 2) - 1.0 AS l2 FROM lk WHERE sample <> 'S2' GROUP BY ALL),
+ow AS (SELECT *, CASE WHEN sample = 'S0' AND block_id % 2 = 0 THEN l0 WHEN abs(l0 - l1) < 1e-9 THEN l0 ELSE greatest(l0, l1) END AS best FROM pv),
+sh AS (SELECT block_id, count(*) FILTER (WHERE l2 - best >= 1e-9) / count(*) AS share FROM ow GROUP BY block_id),
+bl AS (SELECT DISTINCT block_id FROM lk)
+SELECT block_id AS call_id, round(CASE WHEN block_id % 3 > 0 THEN coalesce(share, 0) END, 6) AS dc, round(CASE WHEN block_id % 3 = 0 THEN coalesce(share, 0) END, 6) AS nc FROM bl LEFT JOIN sh USING (block_id)""", ("reads",))
+
 # --- phasing and blocks ---
 register("phase_blocks", lambda t: P.phase_blocks(t("calls").withColumn("phase_begin", col("start_pos") - col("gq")).withColumn("phase_end", col("end_pos") + col("gq"))).groupBy("contig", "block").agg(
     F.count(F.lit(1)).alias("n"), F.min("start_pos").alias("begin"), F.max("end_pos").alias("end_")).drop("block"), """

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..operators import reads as P
 from ..operators.interval import interval_join
+from ..sources.store import cut as _cut
 from ..sources.text_formats import fetch_sequences
 from . import candidates as K
 from . import genotypes as G
@@ -90,20 +91,6 @@ def candidate_variants(reads: DataFrame, reference: DataFrame, o: Options, sourc
     return out.distinct()
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """End a stage: its rows are written to the shared checkpoint folder if there is one, else kept by Spark.
-
-    Later stages read a stage's rows several times; without the cut each reading would plan and run all stages before it.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            return df.persist()
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 @dataclass
 class Blocks:
     blocks: DataFrame

@@ -224,11 +224,3 @@ def rank_haplotypes(likelihoods: DataFrame, keys: list[str] = ("block_id", "samp
     """Haplotypes by total likelihood, best first."""
     x = likelihoods.groupBy(*keys, "haplotype_id").agg(F.sum("ln_p").alias("ln_total"))
     return x.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("ln_total"), "haplotype_id")))
-
-
-def mass_cut(df: DataFrame, p: str, keys: list[str], epsilon: float, order: list[Column]) -> DataFrame:
-    """The likeliest rows of each group until their mass reaches 1 - epsilon."""
-    w = W.partitionBy(*keys).orderBy(F.desc(p), *order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("_mass", F.coalesce(F.sum(p).over(w), F.lit(0.0))).where(col("_mass") < 1 - epsilon).drop("_mass")
-
-

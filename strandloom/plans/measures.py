@@ -6,11 +6,14 @@ of a facet and level are computed in one aggregation.
 * ``call``: columns of the call row.  Level *call*.
 * ``genotype``: one row per call and sample with the genotype ``gt`` (allele numbers, 0 the reference).  Level *sample*.
 * ``reads``: overlapping reads of a call and sample.  Levels *call* (samples pooled) and *sample*.
-* ``support``: reads assigned to alleles, one row per read and allele.  Levels *sample* and *allele*.
+* ``depth``, ``raw_depth``: runs of equal depth of a sample that a call overlaps, from a sweep over the reads.  Level *sample*.
+* ``support``: reads assigned to alleles that the sample is called with, one row per read and allele.  Levels *sample* and *allele*.
+* ``duplicates``: those reads by group of duplicates.  Level *allele*.
 
 Tables: ``calls(call_id, contig, start_pos, end_pos, ref, alts, qual, ...)``, ``genotypes(call_id, sample, gt, gq, mp, ploidy, ...)``,
 ``reads`` (see :mod:`strandloom.operators.reads`; ``raw_reads`` for unfiltered depth) and
-``support(call_id, sample, allele, <read columns>)`` from :func:`strandloom.plans.assignment.allele_support`.
+``support(call_id, sample, allele, <read columns>)``: reads and the alleles they are assigned to (see :mod:`strandloom.plans.facets`).
+An allele that a sample is not called with has no value; a called one without reads has a depth of 0.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from ..functions import cigar as C
 from ..functions import numeric as N
 from ..functions import regions as R
 from ..functions import sequences as S
+from ..operators.coverage import depth_runs
 from ..operators.interval import interval_join
 
 col = F.col
@@ -68,25 +72,18 @@ def _clip_share() -> Column:
     return F.aggregate(F.filter("r.cigar", lambda o: o["flag"].isin("S", "H")), F.lit(0), lambda a, o: a + o["size"]) / F.length("r.seq")
 
 
-def _spans() -> Column:
-    return F.collect_list(F.struct(F.greatest("r.start_pos", "l.start_pos").alias("b"), col("r.end_pos").alias("e")))
-
-
-def _max_depth(spans: Column) -> Column:
-    """Largest positional depth: it can only rise where a read begins."""
-    return F.coalesce(F.array_max(F.transform(spans, lambda p: F.size(F.filter(spans, lambda s: (s["b"] <= p["b"]) & (s["e"] > p["b"]))))), F.lit(0))
-
-
 # prepared aggregates over overlapping reads
 prepared("n_overlapping", "reads", "sample", lambda: F.count("r"))
-prepared("spans", "reads", "sample", _spans)
 prepared("max_read_length", "reads", "sample", lambda: F.max(F.length("r.seq")))
+prepared("all_forward", "reads", "sample", lambda: F.count_if(~col("r.reverse")))
+prepared("all_reverse", "reads", "sample", lambda: F.count_if(col("r.reverse")))
 prepared("n_all", "reads", "call", lambda: F.count("r"))
 prepared("n_clipped", "reads", "call", lambda: F.count_if(C.is_soft_clipped(col("r.cigar")) & (_clip_share() > 0.25)))
 prepared("n_mq_zero", "reads", "call", lambda: F.count_if(col("r.mq") == 0))
 prepared("rms_mq", "reads", "call", lambda: N.rms(col("r.mq")))
-prepared("raw_spans", "raw_reads", "sample", _spans)
-# over reads that support an allele
+prepared("max_depth", "depth", "sample", lambda: F.max("r.depth"))
+prepared("max_raw_depth", "raw_depth", "sample", lambda: F.max("r.depth"))
+# over reads that support a called allele
 prepared("n_support", "support", "allele", lambda: F.count(F.lit(1)))
 prepared("median_mq", "support", "allele", lambda: F.median("mq"))
 prepared("n_forward", "support", "allele", lambda: F.count_if(~col("reverse")))
@@ -95,56 +92,114 @@ prepared("n_supplementary", "support", "allele", lambda: F.count_if(col("supplem
 prepared("non_match_bases", "support", "allele", lambda: F.sum(C.sum_non_matches(col("cigar"))))
 prepared("support_bases", "support", "allele", lambda: F.sum(F.length("seq")))
 prepared("stdev_error", "support", "allele", lambda: F.stddev_pop(C.sum_non_matches(col("cigar")) / F.length("seq")))
-prepared("median_bq", "support", "allele", lambda: F.median(F.array_min(_allele_quals())))
-prepared("n_left", "support", "allele", lambda: F.count_if(_middle() < 0.25))
-prepared("n_right", "support", "allele", lambda: F.count_if(_middle() >= 0.75))
-prepared("n_ends", "support", "allele", lambda: F.count_if(_near_end()))
-prepared("n_head", "support", "allele", lambda: F.count_if(_from_start() < 0.5))
-prepared("n_tail", "support", "allele", lambda: F.count_if(_from_start() >= 0.5))
-prepared("dup_groups", "support", "allele", lambda: F.count(F.lit(1)) - F.countDistinct("reverse", "read_start", "read_end", C.to_text(col("cigar"))))
+prepared("median_bq", "support", "allele", lambda: F.median(F.array_min(_section_quals())))
+prepared("n_left", "support", "allele", lambda: F.count_if(_spans_half() | ~_in_right_half()))
+prepared("n_right", "support", "allele", lambda: F.count_if(_spans_half() | _in_right_half()))
+prepared("n_end", "support", "allele", lambda: F.count_if(_contained() & (_in_first_bases() | _in_last_bases())))
+prepared("n_middle", "support", "allele", lambda: F.count_if(_contained() & ~(_in_first_bases() | _in_last_bases())))
+prepared("n_tail", "support", "allele", lambda: F.count_if(_contained() & _in_tail()))
+prepared("n_head", "support", "allele", lambda: F.count_if(_contained() & ~_in_tail()))
+prepared("dup_reads", "duplicates", "allele", lambda: F.sum(F.when(col("n_of_group") > 1, col("n_of_group") - 1).otherwise(1)))
 prepared("mean_likelihood", "support", "allele", lambda: F.floor(F.avg(F.floor(-col("ln_likelihood") / N.LN10_DIV_10))))
-prepared("n_mismatched", "support", "sample", lambda: F.count_if(_slice() != col("allele_seq")))
-prepared("n_base_mismatches", "support", "sample", lambda: F.sum(S.hamming(_slice(), col("allele_seq"))))
+prepared("n_mismatched", "support", "sample", lambda: F.count_if(_section_differs()))
+prepared("n_base_mismatches", "support", "sample", lambda: F.sum(S.hamming(_section_part(), _allele_part())))
 prepared("base_mismatch_quals", "support", "sample", lambda: F.median(_worst_mismatch_quality()))
 prepared("n_assigned", "support", "sample", lambda: F.count(F.lit(1)))
 prepared("n_misaligned", "support", "sample", lambda: F.count_if(C.sum_non_matches(col("cigar")) > 5 * F.ceil(_expected_errors())))
 prepared("n_ambiguous", "ambiguous", "sample", lambda: F.count(F.lit(1)))
 prepared("median_somatic_mq", "support", "sample", lambda: F.median(F.when(col("is_somatic_allele"), col("mq"))))
 
+#: Share of a read's bases that make its head or tail.
+END_SHARE = 0.03
+
+
+def _read() -> R.Region:
+    return R.Region(col("read_start"), col("read_end"))
+
+
+def _call() -> R.Region:
+    """The allele's region: that of its call."""
+    return R.Region(col("call_start"), col("call_end"))
+
+
+def _section() -> Column:
+    """``struct(off, size)``: the read's bases on the call's region, by its cigar."""
+    return C.section(col("cigar"), col("read_start"), col("call_start"), col("call_end"))
+
+
+def _bases() -> Column:
+    return F.substr("seq", _section()["off"] + 1, _section()["size"])
+
+
+def _section_quals() -> Column:
+    return F.slice("quals", _section()["off"] + 1, F.greatest(_section()["size"], F.lit(1)))
+
+
+def _from_back() -> Column:
+    """Reads that begin inside the call are compared from its end."""
+    return ~_complete() & (col("read_start") >= col("call_start"))
+
+
+def _complete() -> Column:
+    return R.contains(_read(), _call()) & ~R.are_adjacent(_read(), _call())
+
+
+def _common() -> Column:
+    return F.least(F.length(_bases()), F.length("allele_seq"))
 
-def _offset() -> Column:
-    """Where the call begins in the read (one reference position a base)."""
-    return (col("call_start") - col("read_start")).cast("int")
 
+def _section_part() -> Column:
+    b, n = _bases(), _common()
+    return F.when(_from_back(), F.substr(b, F.length(b) - n + 1, n)).otherwise(F.substr(b, F.lit(1), n))
 
-def _slice() -> Column:
-    n = F.length("allele_seq")
-    return F.substr("seq", F.greatest(_offset(), F.lit(0)) + 1, n + F.least(_offset(), F.lit(0)))
 
+def _allele_part() -> Column:
+    n = _common()
+    return F.when(_from_back(), F.substr("allele_seq", F.length("allele_seq") - n + 1, n)).otherwise(F.substr("allele_seq", F.lit(1), n))
 
-def _allele_quals() -> Column:
-    return F.slice("quals", F.greatest(_offset(), F.lit(0)) + 1, F.greatest(F.length("allele_seq"), F.lit(1)))
 
+def _section_differs() -> Column:
+    return F.when(_complete(), _bases() != col("allele_seq")).otherwise(
+        (F.length(_bases()) > F.length("allele_seq")) | (_section_part() != _allele_part()))
 
-def _middle() -> Column:
-    """Place of the call in the read, from its left end, as a share of its length."""
-    return _offset() / F.greatest(F.length("seq"), F.lit(1))
 
+def _contained() -> Column:
+    return R.contains(_read(), _call())
 
-def _from_start() -> Column:
-    return F.when(col("reverse"), 1 - _middle()).otherwise(_middle())
 
+def _spans_half() -> Column:
+    """The allele is so large against the read that it counts for both sides."""
+    return _call().size >= F.floor(_read().size / 2)
 
-def _near_end(fraction: float = 0.03) -> Column:
-    window = F.greatest(F.length("seq") * fraction, F.lit(1.0))
-    return (_offset() < window) | (_offset() >= F.length("seq") - window)
+
+def _in_right_half() -> Column:
+    return R.overlaps(_call(), R.Region(col("read_start") + F.floor(_read().size / 2), col("read_end")))
+
+
+def _end_bases() -> Column:
+    return F.greatest(F.floor(F.length("seq") * END_SHARE), F.lit(1))
+
+
+def _in_first_bases() -> Column:
+    return R.contains(R.head_region(_read(), _end_bases()), _call())
+
+
+def _in_last_bases() -> Column:
+    return R.contains(R.tail_region(_read(), _end_bases()), _call())
+
+
+def _in_tail() -> Column:
+    return F.when(col("reverse"), _in_first_bases()).otherwise(_in_last_bases())
 
 
 def _worst_mismatch_quality() -> Column:
-    bases, quals = _slice(), _allele_quals()
-    at = F.when(F.length(bases) > 0, F.sequence(F.lit(1), F.least(F.length(bases), F.length("allele_seq")))).otherwise(F.array().cast("array<int>"))
-    hits = F.filter(at, lambda i: F.substr(bases, i, F.lit(1)) != F.substr("allele_seq", i, F.lit(1)))
-    return F.array_min(F.transform(hits, lambda i: F.get(quals, i - 1)))
+    """Least quality of the section's bases that differ from the allele."""
+    a, b, quals = _section_part(), _allele_part(), _section_quals()
+    n = F.length(a)
+    skip = F.when(_from_back(), F.size(quals) - n).otherwise(0)
+    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    hits = F.filter(at, lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1)))
+    return F.array_min(F.transform(hits, lambda i: F.get(quals, i - 1 + skip)))
 
 
 def _expected_errors() -> Column:
@@ -164,23 +219,25 @@ measure("MQ", "MeanMappingQuality", "call", lambda: col("rms_mq"), inputs=("rms_
 measure("GC", "GCContent", "call", lambda: S.gc_content(col("context")))
 measure("STRL", "STRLength", "call", lambda: F.coalesce(col("repeat.end_pos") - col("repeat.start_pos"), F.lit(0)))
 measure("STRP", "STRPeriod", "call", lambda: F.coalesce(col("repeat.period"), F.lit(0)))
-measure("DC", "DeNovoContamination", "call", lambda: F.coalesce("denovo_contamination", F.lit(0.0)))
-measure("NC", "NormalContamination", "call", lambda: F.coalesce("normal_contamination", F.lit(0.0)))
+measure("DC", "DeNovoContamination", "call", lambda: F.when(col("is_denovo"), col("denovo_contamination")))
+measure("NC", "NormalContamination", "call", lambda: F.when(col("is_somatic"), col("normal_contamination")))
 # --- level sample ---
-_depth = lambda: _max_depth(F.coalesce(col("spans"), F.array().cast("array<struct<b:bigint,e:bigint>>")))
-_raw_depth = lambda: _max_depth(F.coalesce(col("raw_spans"), F.array().cast("array<struct<b:bigint,e:bigint>>")))
+_depth = lambda: F.coalesce("max_depth", F.lit(0))
+_raw_depth = lambda: F.coalesce("max_raw_depth", F.lit(0))
 _by = lambda x, n: F.when(n() > 0, x / n())
-measure("DP", "Depth", "sample", _depth, inputs=("spans",))
-measure("QD", "QualityByDepth", "sample", lambda: _by(col("qual"), _depth), inputs=("spans",))
+measure("DP", "Depth", "sample", _depth, inputs=("max_depth",))
+measure("QD", "QualityByDepth", "sample", lambda: _by(col("qual"), _depth), inputs=("max_depth",))
 measure("GQ", "GenotypeQuality", "sample", lambda: col("gq").cast("double"))
-measure("GQD", "GenotypeQualityByDepth", "sample", lambda: _by(col("gq").cast("double"), _depth), inputs=("spans",))
-measure("PPD", "PosteriorProbabilityByDepth", "sample", lambda: _by(col("pp"), _depth), inputs=("spans",))
+measure("GQD", "GenotypeQualityByDepth", "sample", lambda: _by(col("gq").cast("double"), _depth), inputs=("max_depth",))
+measure("PPD", "PosteriorProbabilityByDepth", "sample", lambda: _by(col("pp"), _depth), inputs=("max_depth",))
 measure("MP", "ModelPosterior", "sample", lambda: F.coalesce("gt_mp", "mp"))
-measure("MPD", "ModelPosteriorByDepth", "sample", lambda: _by(F.coalesce("gt_mp", "mp"), _depth), inputs=("spans",))
-measure("FRF", "FilteredReadFraction", "sample", lambda: F.when(_raw_depth() > 0, 1 - _depth() / _raw_depth()).otherwise(0.0), inputs=("spans", "raw_spans"))
+measure("MPD", "ModelPosteriorByDepth", "sample", lambda: _by(F.coalesce("gt_mp", "mp"), _depth), inputs=("max_depth",))
+measure("FRF", "FilteredReadFraction", "sample", lambda: F.when(_raw_depth() > 0, 1 - _depth() / _raw_depth()).otherwise(0.0), inputs=("max_depth", "max_raw_depth"))
 measure("MRL", "MaxReadLength", "sample", lambda: col("max_read_length"), inputs=("max_read_length",))
 measure("ARF", "AmbiguousReadFraction", "sample", lambda: F.when(col("n_overlapping") > 0, F.coalesce("n_ambiguous", F.lit(0)) / col("n_overlapping")),
         inputs=("n_overlapping", "n_ambiguous"))
+measure("SD", "StrandDisequilibrium", "sample", lambda: F.get(N.beta_cdfs(F.array(F.array(
+    F.coalesce("all_forward", F.lit(0)) + 0.5, F.coalesce("all_reverse", F.lit(0)) + 0.5, F.lit(0.01), F.lit(0.99)))), F.lit(0)), inputs=("all_forward", "all_reverse"))
 measure("DENOVO", "IsDenovo", "sample", lambda: col("is_denovo") & F.coalesce("is_child", F.lit(False)))
 measure("REFCALL", "IsRefcall", "sample", lambda: F.forall("gt", lambda g: g == 0))
 measure("SOMATIC", "IsSomatic", "sample", lambda: col("is_somatic") & (F.size("gt") > col("ploidy")) & F.exists("gt", lambda g: g > 0))
@@ -190,25 +247,28 @@ measure("VL", "VariantLength", "sample", lambda: F.array_max(F.transform("gt", l
     F.length(F.get(F.concat(F.array("ref"), col("alts")), g)), (col("end_pos") - col("start_pos")).cast("int")))))
 measure("ADP", "AssignedDepth", "sample", lambda: F.coalesce("n_assigned", F.lit(0)), inputs=("n_assigned",))
 measure("MC", "MismatchCount", "sample", lambda: F.coalesce("n_mismatched", F.lit(0)), inputs=("n_mismatched",))
-measure("MF", "MismatchFraction", "sample", lambda: F.when(_depth() > 0, F.coalesce("n_mismatched", F.lit(0)) / _depth()).otherwise(0.0), inputs=("n_mismatched", "spans"))
+measure("MF", "MismatchFraction", "sample", lambda: F.when(_depth() > 0, F.coalesce("n_mismatched", F.lit(0)) / _depth()).otherwise(0.0), inputs=("n_mismatched", "max_depth"))
 measure("BMC", "BaseMismatchCount", "sample", lambda: F.coalesce("n_base_mismatches", F.lit(0)), inputs=("n_base_mismatches",))
 measure("BMF", "BaseMismatchFraction", "sample", lambda: (lambda n: F.when(n > 0, F.coalesce("n_base_mismatches", F.lit(0)) / n).otherwise(0.0))(
-    _depth() * MEASURES["VL"].value()), inputs=("n_base_mismatches", "spans"))
+    _depth() * MEASURES["VL"].value()), inputs=("n_base_mismatches", "max_depth"))
 measure("BMQ", "BaseMismatchQuality", "sample", lambda: F.floor("base_mismatch_quals").cast("int"), inputs=("base_mismatch_quals",))
 measure("MRC", "MisalignedReadCount", "sample", lambda: F.coalesce("n_misaligned", F.lit(0)), inputs=("n_misaligned",))
 measure("SMQ", "MedianSomaticMappingQuality", "sample", lambda: F.when(col("is_somatic"), col("median_somatic_mq")), inputs=("median_somatic_mq",))
 # --- level allele, and samples from arrays over alleles ---
-measure("AD", "AlleleDepth", "allele", lambda: col("n_support"), inputs=("n_support",), aggregator="min_tail")
-measure("AF", "AlleleFrequency", "allele", lambda: F.when(F.coalesce("n_assigned", F.lit(0)) == 0, 1.0).otherwise(
-    F.coalesce("n_support", F.lit(0)) / col("n_assigned")), inputs=("n_support", "n_assigned"), aggregator="min_tail")
-measure("AFB", "AlleleFrequencyBias", "allele", lambda: F.abs(F.size(F.filter("gt", lambda g: g == col("allele"))) / F.size("gt") - MEASURES["AF"].value()),
+_called = lambda: F.array_contains("gt", col("allele"))
+_copies = lambda: F.size(F.filter("gt", lambda g: g == col("allele")))
+_support = lambda: F.when(_called(), F.coalesce("n_support", F.lit(0)))
+measure("AD", "AlleleDepth", "allele", _support, inputs=("n_support",), aggregator="min_tail")
+measure("AF", "AlleleFrequency", "allele", lambda: F.when(_called(), F.when(F.coalesce("n_assigned", F.lit(0)) == 0, 1.0).otherwise(_support() / col("n_assigned"))),
+        inputs=("n_support", "n_assigned"), aggregator="min_tail")
+measure("AFB", "AlleleFrequencyBias", "allele", lambda: F.abs(_copies() / F.size("gt") - MEASURES["AF"].value()),
         inputs=("n_support", "n_assigned"), aggregator="min_tail")
 measure("AMQ", "AlleleMappingQuality", "allele", lambda: col("median_mq"), inputs=("median_mq",), aggregator="min_tail")
-measure("AC", "AltAlleleCount", "allele", lambda: F.when(col("allele") > 0, F.size(F.filter("gt", lambda g: g == col("allele")))), aggregator="sum")
+measure("AC", "AltAlleleCount", "allele", lambda: F.when(col("allele") > 0, _copies()), aggregator="sum")
 measure("BQ", "MedianBaseQuality", "allele", lambda: F.when(F.length("allele_seq") == F.length("ref"), F.floor("median_bq").cast("int")), inputs=("median_bq",), aggregator="min_tail")
-measure("DAD", "DuplicateAlleleDepth", "allele", lambda: F.coalesce("dup_groups", F.lit(0)), inputs=("dup_groups",), aggregator="max_tail")
-measure("DAF", "DuplicateAlleleFraction", "allele", lambda: F.when(F.coalesce("n_support", F.lit(0)) > 0, F.coalesce("dup_groups", F.lit(0)) / col("n_support")).otherwise(0.0),
-        inputs=("dup_groups", "n_support"), aggregator="max_tail")
+measure("DAD", "DuplicateAlleleDepth", "allele", lambda: F.when(_called(), F.coalesce("dup_reads", F.lit(0))), inputs=("dup_reads",), aggregator="max_tail")
+measure("DAF", "DuplicateAlleleFraction", "allele", lambda: F.when(_called(), F.when(_support() > 0, F.coalesce("dup_reads", F.lit(0)) / _support()).otherwise(0.0)),
+        inputs=("dup_reads", "n_support"), aggregator="max_tail")
 measure("ER", "ErrorRate", "allele", lambda: F.when(col("support_bases") > 0, col("non_match_bases") / col("support_bases")), inputs=("non_match_bases", "support_bases"), aggregator="max")
 measure("ERS", "ErrorRateStdev", "allele", lambda: col("stdev_error"), inputs=("stdev_error",), aggregator="max")
 measure("ITV", "IsTransversion", "allele", lambda: F.when(col("allele") > 0, A.is_transversion(col("ref"), col("allele_seq"))), aggregator="max")
@@ -226,43 +286,45 @@ def _pairs(xs: Column, fn: Callable[[Column, Column], Column]) -> Column:
     return F.array_max(F.flatten(F.transform(xs, lambda a: F.transform(xs, lambda b: fn(a, b)))))
 
 
-across("MQD", "MappingQualityDivergence", ("median_mq",), lambda: F.when(F.size(F.array_distinct("gt")) > 1, _pairs(
-    F.filter(F.transform("own", lambda x: x["median_mq"]), lambda v: v.isNotNull()), lambda a, b: F.abs(a - b))))
-across("SB", "StrandBias", ("n_forward", "n_reverse"), lambda: F.coalesce(_pairs(col("own"), lambda a, b: strand_difference(a, b)), F.lit(0.0)))
-across("SD", "StrandDisequilibrium", ("n_forward", "n_reverse"), lambda: (lambda f, r: F.greatest(
-    N.beta_cdf(f + 0.5, r + 0.5, 0.5), N.beta_sf(f + 0.5, r + 0.5, 0.5)))(_total("n_forward"), _total("n_reverse")))
-across("RSB", "ReadSideBias", ("n_left", "n_right"), lambda: F.array_max(F.transform("own", lambda x: N.beta_sf(
-    x["n_left"] + 1.0, x["n_right"] + 1.0, 0.75) + N.beta_cdf(x["n_left"] + 1.0, x["n_right"] + 1.0, 0.25))))
-across("REB", "ReadEndBias", ("n_support", "n_ends"), lambda: F.array_max(F.transform("own", lambda x: N.beta_cdf(
-    x["n_support"] - x["n_ends"] + 1.0, x["n_ends"] + 1.0, min(3 * 2 * 0.03, 0.5)))))
-across("RTB", "ReadTailBias", ("n_head", "n_tail"), lambda: F.array_max(F.transform("own", lambda x: N.beta_cdf(x["n_head"] + 1.0, x["n_tail"] + 1.0, 0.5))))
-across("SF", "SupplementaryFraction", ("n_support", "n_supplementary"), lambda: F.aggregate(
-    F.filter("own", lambda x: x["allele"] > 0), F.lit(0.0), lambda s, x: s + F.greatest(s, F.when(x["n_support"] > 0, x["n_supplementary"] / x["n_support"]).otherwise(0.0))))
-across("DPC", "DuplicateConcordance", ("n_support",), lambda: F.when(F.size(F.filter("own", lambda x: x["n_support"] > 0)) > 0, F.lit(1.0)))
-
-
 def _field(array: str, name: str) -> Column:
     return F.transform(array, lambda x: x[name])
 
 
-def _total(name: str) -> Column:
-    return F.aggregate("own", F.lit(0.0), lambda s, x: s + F.coalesce(x[name], F.lit(0)))
+def _own() -> Column:
+    """Cells of the alleles that the sample is called with."""
+    return F.filter("own", lambda x: F.array_contains("gt", x["allele"]))
+
+
+def _n(x: Column, name: str) -> Column:
+    return F.coalesce(x[name], F.lit(0)).cast("double")
+
 
+def _het() -> Column:
+    return F.size(F.array_distinct("gt")) > 1
 
-def strand_difference(a: Column, b: Column, prior: float = 0.5) -> Column:
-    """Probability that the forward shares of two alleles differ, by the normal approximation of both beta posteriors."""
-    def mean_var(x: Column) -> tuple[Column, Column]:
-        f, r = F.coalesce(x["n_forward"], F.lit(0)) + prior, F.coalesce(x["n_reverse"], F.lit(0)) + prior
-        n = f + r
-        return f / n, f * r / (n * n * (n + 1))
 
-    (ma, va), (mb, vb) = mean_var(a), mean_var(b)
-    z = F.abs(ma - mb) / F.sqrt(va + vb)
-    # two-sided normal probability by a logistic of a cubic (error below 2e-4)
-    cdf = 1 / (1 + F.exp(-(1.5976 * z + 0.070565992 * z * z * z)))
-    return 2 * cdf - 1
+def _most(test: Callable[[Column], Column]) -> Column:
+    """Largest value over called alleles; 0 for none."""
+    return F.coalesce(F.array_max(F.transform(_own(), test)), F.lit(0.0))
 
 
+def _medians() -> Column:
+    return F.transform(F.filter(_own(), lambda x: x["median_mq"].isNotNull()), lambda x: F.floor(x["median_mq"]).cast("int"))
+
+
+across("MQD", "MappingQualityDivergence", ("median_mq",), lambda: F.when(_het(), F.array_max(_medians()) - F.array_min(_medians())))
+across("SB", "StrandBias", ("n_forward", "n_reverse"), lambda: F.when(_het() & F.exists("gt", lambda g: g > 0), N.largest_beta_difference(F.transform(
+    _own(), lambda x: F.array(_n(x, "n_forward") + 1, _n(x, "n_reverse") + 1)))))
+across("RSB", "ReadSideBias", ("n_left", "n_right"), lambda: F.array_max(F.concat(F.array(F.lit(0.0)), N.beta_cdfs(F.transform(_own(), lambda x: F.array(
+    _n(x, "n_left") + 1, _n(x, "n_right") + 1, F.lit(0.25), F.lit(0.75)))))))
+across("REB", "ReadEndBias", ("n_middle", "n_end"), lambda: F.array_max(F.concat(F.array(F.lit(0.0)), N.beta_cdfs(F.transform(_own(), lambda x: F.array(
+    _n(x, "n_middle") + 1, _n(x, "n_end") + 1, F.lit(min(3 * END_SHARE, 0.5)), F.lit(1.0)))))))
+across("RTB", "ReadTailBias", ("n_head", "n_tail"), lambda: F.array_max(F.concat(F.array(F.lit(0.0)), N.beta_cdfs(F.transform(_own(), lambda x: F.array(
+    _n(x, "n_head") + 1, _n(x, "n_tail") + 1, F.lit(min(3 * END_SHARE, 0.5)), F.lit(1.0)))))))
+across("SF", "SupplementaryFraction", ("n_support", "n_supplementary"), lambda: F.when(F.exists("gt", lambda g: g > 0), F.aggregate(
+    F.filter(_own(), lambda x: x["allele"] > 0), F.lit(0.0), lambda s, x: s + F.when(_n(x, "n_support") > 0, F.greatest(s, _n(x, "n_supplementary") / _n(x, "n_support"))).otherwise(0.0))))
+across("DPC", "DuplicateConcordance", ("n_support",), lambda: F.when(F.exists(_own(), lambda x: _n(x, "n_support") > 0), F.lit(1.0)))
+
 ALL = [*MEASURES, *ACROSS]
 
 
@@ -289,13 +351,29 @@ class Facets:
 
     def rows(self, facet: str) -> DataFrame:
         if facet not in self.built:
-            if facet in ("reads", "raw_reads"):
-                x = interval_join(self.calls, getattr(self, facet), width=self.width)
-                self.built[facet] = x.withColumn("call_id", col("l.call_id")).withColumn("sample", col("r.sample"))
-            else:
-                self.built[facet] = getattr(self, facet)
+            self.built[facet] = self._build(facet)
         return self.built[facet]
 
+    def _build(self, facet: str) -> DataFrame:
+        if facet == "reads":
+            return self._overlapping(self.calls, self.reads)
+        if facet in ("depth", "raw_depth"):
+            reads = self.reads if facet == "depth" else self.raw_reads
+            # an empty call looks at the position it is at
+            calls = self.calls.select("call_id", "contig", "start_pos", F.greatest(col("end_pos"), col("start_pos") + 1).alias("end_pos"))
+            return self._overlapping(calls, depth_runs(reads, ["sample", "contig"]))
+        if facet == "support":
+            called = self.genotypes.select("call_id", "sample", F.explode(F.array_distinct("gt")).alias("allele"))
+            return self.support.join(called, _KEYS["allele"])
+        if facet == "duplicates":
+            groups = self.rows("support").where("dup_group is not null").groupBy(*_KEYS["allele"], "dup_group")
+            return groups.agg(F.count(F.lit(1)).alias("n_of_group"))
+        return getattr(self, facet)
+
+    def _overlapping(self, calls: DataFrame, items: DataFrame) -> DataFrame:
+        x = interval_join(calls, items, width=self.width)
+        return x.withColumn("call_id", col("l.call_id")).withColumn("sample", col("r.sample"))
+
 
 _KEYS = {"call": ["call_id"], "sample": ["call_id", "sample"], "allele": ["call_id", "sample", "allele"]}
 #: Columns of calls and genotypes that measures may read, with the value they have if the input lacks them.
@@ -331,7 +409,7 @@ def evaluate(facets: Facets, names: Iterable[str]) -> DataFrame:
     seqs = F.concat(F.array("ref"), col("alts"))
     x = base.select("*", F.posexplode(seqs).alias("allele", "allele_seq"))
     for facet in dict.fromkeys(PREPARED[i].facet for i in allele_inputs):
-        aggs = [PREPARED[i].value().alias(i) for i in allele_inputs]
+        aggs = [PREPARED[i].value().alias(i) for i in allele_inputs if PREPARED[i].facet == facet]
         x = x.join(facets.rows(facet).groupBy(*_KEYS["allele"]).agg(*aggs), _KEYS["allele"], "left")
     cells = F.sort_array(F.collect_list(F.struct("allele", *[m.value().alias(m.name) for m in by_allele], *allele_inputs)))
     first = [F.first(c).alias(c) for c in dict.fromkeys([m.name for m in own if m.level != "allele"] + ["gt"])]

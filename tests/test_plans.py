@@ -2,12 +2,15 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import alleles as A
+from strandloom.functions import cigar as C
 from strandloom.functions import numeric as N
 from strandloom.functions import sequences as S
+from strandloom.operators import variants as V
 from strandloom.plans import filters as X
 from strandloom.plans import genotypes as G
 from strandloom.plans import phasing as H
@@ -65,11 +68,58 @@ def test_trim_and_split(spark):
     assert [tuple(v)[:1] + tuple(v)[2:] for v in value(spark, A.split_mnv(F.lit(5), F.lit("ACG"), F.lit("TCC")))] == [(5, "A", "T"), (7, "G", "C")]
 
 
-def test_left_align():
-    assert A.left_align_row(12, "CAG", "", "TTTCAGCAGCAG") == (3, "CAG", "")
-    assert A.left_align_row(12, "", "CAG", "TTTCAGCAGCAG") == (3, "", "CAG")
-    assert A.left_align_row(8, "AAC"[::-1], "", "GGCAACAA") == (2, "CAA", "")
-    assert A.left_align_row(5, "A", "T", "ACGTA") == (5, "A", "T")
+def aligned_left(spark, start, ref, alt, before):
+    cols = [F.lit(start), F.lit(ref), F.lit(alt), F.lit(before)]
+    n = A.left_shift(cols[1], cols[2], cols[3])
+    return tuple(value(spark, A.shifted_left(*cols, n)))
+
+
+def test_left_align(spark):
+    assert aligned_left(spark, 12, "CAG", "", "TTTCAGCAGCAG") == (3, 6, "CAG", "")
+    assert aligned_left(spark, 12, "", "CAG", "TTTCAGCAGCAG") == (3, 3, "", "CAG")
+    assert aligned_left(spark, 8, "CAA", "", "GGCAACAA") == (2, 5, "CAA", "")
+    assert aligned_left(spark, 5, "A", "T", "ACGTA") == (5, 6, "A", "T")
+    assert aligned_left(spark, 5, "AA", "AAA", "CCAAA") == (0, 2, "CC", "CCA")  # sizes stay, so common bases come along
+
+
+def test_left_align_passes_windows(spark):
+    ref = spark.createDataFrame([("1", 0, 0, "GC" + "CAG" * 200 + "TT")], "contig string, chunk int, chunk_start bigint, seq string")
+    rows = [("1", 602, 602, "", "CAG"), ("1", 599, 602, "CAG", ""), ("1", 603, 604, "T", "G")]
+    x = V.left_align(spark.createDataFrame(rows, "contig string, start_pos bigint, end_pos bigint, ref string, alt string"), ref, window=4)
+    assert sorted(map(tuple, x.collect())) == [("1", 2, 2, "", "CAG"), ("1", 2, 5, "CAG", ""), ("1", 603, 604, "T", "G")]
+
+
+@pytest.mark.parametrize("start, ref, alt, want", [
+    (10, "G", "C", (10, 11, "G", "C")), (10, "GT", "CT", (10, 11, "G", "C")), (9, "TGT", "TCT", (10, 11, "G", "C")), (10, "GTGGA", "", (9, 15, "CGTGGA", "C")),
+    (10, "", "GTGGA", (9, 10, "C", "CGTGGA")), (0, "", "GT", (0, 1, "A", "GTA")), (9, "TCGTGGA", "TC", (10, 16, "CGTGGA", "C")), (5, "AC", "GAC", (5, 6, "A", "GA"))])
+def test_parsimony(spark, start, ref, alt, want):
+    got = tuple(value(spark, A.make_parsimonious(F.lit(start), F.lit(ref), F.lit(alt), F.lit("C"), F.lit("A"))))
+    assert got == want and value(spark, A.is_parsimonious(F.lit(got[2]), F.lit(got[3])))
+
+
+def test_section_of_a_read(spark):
+    ops = C.parse(F.lit("2S3M2I4M3D2M"))  # reference from 10: clip 10-11, 12-14, insertion before 15, 15-18, deleted 19-21, 22-23
+    cut = lambda b, e: tuple(value(spark, C.section(ops, F.lit(10), F.lit(b), F.lit(e))))
+    assert cut(10, 12) == (0, 2) and cut(14, 15) == (4, 3) and cut(15, 16) == (7, 1) and cut(15, 15) == (5, 2)
+    assert cut(19, 22) == (11, 0) and cut(18, 23) == (10, 2) and cut(0, 100) == (0, 13)
+    text = lambda b, e: value(spark, C.to_text(C.subregion(ops, F.lit(10), F.lit(b), F.lit(e))))
+    assert text(10, 24) == "2S3M2I4M3D2M" and text(13, 17) == "2M2I2M" and text(20, 23) == "2D1M" and text(15, 15) == "2I" and text(15, 17) == "2M"
+
+
+def test_beta_arrays(spark):
+    a, b = np.array([1.0, 5, 30, 0.5]), np.array([1.0, 2, 12, 7.5])
+    for x in (0.03, 0.25, 0.5, 0.97):
+        one = [value(spark, N.beta_cdf(F.lit(float(p)), F.lit(float(q)), x)) for p, q in zip(a, b)]
+        assert N.incomplete_beta(a, b, np.full(4, x)) == pytest.approx(one, abs=1e-10)
+    rng = np.random.default_rng(1)
+    for cell in ((1, 1, 1, 1), (9, 1, 1, 9), (30, 12, 20, 25)):
+        x, y = rng.beta(*cell[:2], 400_000), rng.beta(*cell[2:], 400_000)
+        assert N.beta_difference(np.array([cell], float))[0] == pytest.approx((abs(x - y) > 0.25).mean(), abs=0.012)
+    df = spark.createDataFrame([([[1.0, 1.0], [9.0, 1.0], [1.0, 9.0]],), ([[2.0, 3.0]],), (None,)], "p array<array<double>>")
+    got = [r[0] for r in df.select(N.largest_beta_difference(F.col("p"))).collect()]
+    assert got[0] == pytest.approx(N.beta_difference(np.array([[1, 9, 9, 1.0]]))[0]) and got[1:] == [0.0, 0.0]
+    cells = spark.createDataFrame([([[2.0, 3.0, 0.25, 0.75]],), ([],)], "c array<array<double>>")
+    assert [list(r[0]) for r in cells.select(N.beta_cdfs(F.col("c"))).collect()][1] == []
 
 
 @pytest.mark.parametrize("k, n", [(1, 4), (2, 10), (3, 20), (4, 35)])
