@@ -141,6 +141,38 @@ def test_near_duplicates_that_repeat_a_line(docs):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_near_duplicates_with_repeated_ids(docs):
+    rng = random.Random(3)
+    a, b, c = (" ".join(words(rng, 80)) for _ in range(3))
+    near = lambda t: t + " more"
+    rows = [(1, a), (5, b), (5, near(a)), (6, near(b)), (7, c), (7, c), (8, near(c))]
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs(rows)).collect())
+    assert got == [(1, 1), (5, 1), (5, 5), (6, 5), (7, 7), (7, 7), (8, 7)]
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs(rows)).collect()) == [1, 5, 5, 7, 7]
+
+
+def test_recall_of_near_duplicates(docs):
+    """Pairs around a similarity of 0.8 and above, of many sizes, with a phrase repeated up to 29 times."""
+    rng = random.Random(21)
+    rows, near = [], []
+    for i in range(250):
+        n, times = rng.choice([12, 20, 40, 100, 400]), rng.randrange(1, 30)
+        base = [f"w{rng.randrange(10**7)}" for _ in range(n)]
+        phrase = [f"p{rng.randrange(10**7)}" for _ in range(6)]
+        other = list(base)
+        for _ in range(rng.randrange(0, 1 + n // 60)):
+            other[rng.randrange(n)] = f"x{rng.randrange(10**7)}"
+        other += [f"e{rng.randrange(10**7)}" for _ in range(rng.randrange(0, 1 + n // 8))]
+        pair = [" ".join(base + phrase * times), " ".join(other + phrase * rng.randrange(1, 30))]
+        sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (p.split() for p in pair)]
+        rows += [(2 * i, pair[0]), (2 * i + 1, pair[1])]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            near.append(i)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(rows)).collect()}
+    found = [i for i in range(250) if got[2 * i + 1] == 2 * i]
+    assert set(found) <= set(near) and len(near) > 60 and len(found) >= 0.97 * len(near)
+
+
 def test_near_duplicates_odd_input(docs):
     got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs(ODD)).collect()]
     assert sorted(got, key=repr) == sorted([(1, 1), (2, 1), (3, 1), (None, None), (5, 5), (6, 5), (6, 5), (7, 7), (8, 8)], key=repr)
