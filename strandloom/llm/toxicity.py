@@ -9,7 +9,8 @@ them.
 
 The classifier is fitted on at most ``SAMPLE`` labelled rows, those with the least hash
 among rows whose ``crc32(doc_id)`` mod 5 is not 0.  Evidence counts by distinct contexts (the
-word before), so that copies of one document count once.
+word before), so that copies of one document count once.  The lexicon holds every word of the
+sample with enough evidence; words of any length are decoded.
 """
 
 from __future__ import annotations
@@ -28,14 +29,14 @@ from .common import materialize, new_folder, open_fs, small_batches, without_ids
 
 #: Labelled rows the classifier is fitted on at most.
 SAMPLE = 12_000
-#: Lexicon entries at most, by evidence.
-LEXICON = 20_000
+#: Beginnings of words that count as evidence beside the words.
 PREFIXES = (4, 5)
 #: Share of toxic texts taken to be without known evidence, beyond those counted.
 UNSEEN = 0.02
 #: What a sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a",
               "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "¡": "i", "*": "aeiou", "#": "h"}
+_SIGNS = {c for c in LOOKALIKES if not c.isdigit()}
 _MARKS = set("._-~^*'’`·•/\\|,:;​‌‍\xad")
 _EDGE = ".,;:?\"'()[]{}«»“”„…!-_*~"
 #: Words whose weight a worker remembers; different words whose characters wait to be counted.
@@ -66,9 +67,8 @@ def _count(table: tuple[np.ndarray, np.ndarray], key: int) -> int:
     return int(n[i]) if i < len(keys) and keys[i] == key else 0
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
+def slots(word: str) -> Iterator[list[tuple[str, float]]]:
     """What each run of one character in a (lower-case) word may stand for, with the log-cost."""
-    slots: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(word):
         c, j = word[i], i
@@ -76,16 +76,15 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             j += 1
         run = j - i
         if c.isalpha():
-            slots.append([(c, 0.0 if run == 1 else _REPEAT)] + ([(c * 2, 0.0 if run == 2 else _REPEAT)] if run > 1 else []))
+            yield [(c, 0.0 if run == 1 else _REPEAT)] + ([(c * 2, 0.0 if run == 2 else _REPEAT)] if run > 1 else [])
         else:
             options = [(x, _SWAP) for x in LOOKALIKES.get(c, "")]
             if run > 1:
                 options += [(x * 2, _SWAP * 2) for x in LOOKALIKES.get(c, "")]
             if c in _MARKS or not options:
                 options.append(("", _DROP))
-            slots.append(options)
+            yield options
         i = j
-    return slots
 
 
 class CharModel:
@@ -141,20 +140,37 @@ class CharModel:
 
     def restore(self, word: str) -> str:
         """Likeliest reading of a (lower-case) word by Viterbi decoding of its lattice."""
-        slots = lattice(word)
-        states: dict[tuple[str, str], tuple[float, str]] = {(_START, _START): (0.0, "")}
-        for options in slots:
-            nxt: dict[tuple[str, str], tuple[float, str]] = {}
-            for (a, b), (score, out) in states.items():
+        return self.decode(word, None)
+
+    def decode(self, word: str, longest: int | None) -> str:
+        """As :meth:`restore`; with ``longest`` the reading may be cut behind so many characters, and decoding ends
+        as soon as all readings that are left have those characters in common."""
+        states: dict[tuple[str, str], tuple[float, tuple | None]] = {(_START, _START): (0.0, None)}
+        heads: dict[tuple[str, str], str] = {(_START, _START): ""}
+        for options in slots(word):
+            nxt: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+            head: dict[tuple[str, str], str] = {}
+            for (a, b), (score, back) in states.items():
+                start = heads[a, b]
                 for emit, cost in options:
                     x, y, s = a, b, score + cost
                     for ch in emit:
                         s += self.log_p(x, y, ch)
                         x, y = y, ch
                     if (x, y) not in nxt or s > nxt[x, y][0]:
-                        nxt[x, y] = (s, out + emit)
-            states = nxt
-        return max(((s + self.log_p(a, b, _STOP), out) for (a, b), (s, out) in states.items()), default=(0.0, ""))[1]
+                        nxt[x, y] = (s, (back, emit) if longest is None else None)
+                        head[x, y] = start if longest is None or len(start) >= longest else start + emit
+            states, heads = nxt, head
+            if longest is not None and len(set(heads.values())) == 1 and len(next(iter(heads.values()))) >= longest:
+                return next(iter(heads.values()))
+        end = max(states, key=lambda k: states[k][0] + self.log_p(*k, _STOP))
+        if longest is not None:
+            return heads[end]
+        parts, back = [], states[end][1]
+        while back is not None:
+            back, emit = back
+            parts.append(emit)
+        return "".join(reversed(parts))
 
 
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
@@ -162,33 +178,38 @@ _DRAWN = re.compile(r"(.)\1\1")
 
 
 def disguised(word: str) -> bool:
-    """Whether a word (stripped, lower-case) has letters together with signs, or drawn-out letters."""
+    """Whether a word (stripped, lower-case) has letters together with signs, or drawn-out letters, or is made of signs one
+    of which looks like a letter and is no digit."""
     if _PLAIN.match(word):
         return bool(_DRAWN.search(word))
-    return any(c.isalpha() for c in word) and len(word) <= 64
+    return any(c.isalpha() or c in _SIGNS for c in word)
 
 
 @dataclass
 class Model:
-    """What is broadcast: bounded by ``LEXICON``, as the character model is a table in the shared folder."""
+    """What is broadcast: bounded by the words of ``SAMPLE`` labelled rows, as the character model is a table in the shared folder."""
 
     chars: CharModel
     weights: dict[str, float]
     bias: float
 
-    def readings(self, raw: str) -> list[str]:
-        """The word as it stands and, if it looks disguised, as restored."""
+    def readings(self, raw: str, longest: int | None = None) -> list[str]:
+        """The word as it stands and, if it looks disguised, as restored (see :meth:`CharModel.decode`)."""
         word = raw.strip(_EDGE)
         out = [word] if word else []
         if word and disguised(word):
-            out.append(self.chars.restore(word))
+            out.append(self.chars.decode(word, longest))
             if raw[-1:] == "!" or raw[:1] in "!*":
-                out.append(self.chars.restore(raw.strip(".,;:?\"'()[]{}")))
+                out.append(self.chars.decode(raw.strip(".,;:?\"'()[]{}"), longest))
         return out
 
-    def weight(self, raw: str) -> float:
+    def longest(self) -> int:
+        """Characters of a reading that can matter: one more than the longest word of the lexicon has."""
+        return max([*map(len, self.weights), *PREFIXES]) + 1
+
+    def weight(self, raw: str, longest: int | None = None) -> float:
         best = 0.0
-        for word in self.readings(raw):
+        for word in self.readings(raw, longest):
             for f in features(word):
                 best = max(best, self.weights.get(f, 0.0))
         return best
@@ -230,12 +251,27 @@ class Spaced:
             rest = token.lstrip(raw[-1]) if raw and token[:1] == raw[-1] and raw[-1].isalpha() else token
             for part in {token, rest}:
                 reads = [read]
-                for options in lattice(part):
+                for options in slots(part):
+                    if not reads:
+                        break
                     reads = [x + emit for x in reads for emit, _ in options if not x + emit or x + emit in self.heads]
                 for x in reads:
                     out.setdefault(x, raw + token)
         return out
 
+    def may_grow(self, states: dict[str, str], token: str) -> bool:
+        """Whether :meth:`grown` can keep a state, by the token's first character alone."""
+        if not token or token in _EDGE:
+            return True
+        c = token[0]
+        if not c.isalpha():
+            return True
+        heads = self.heads
+        for read, raw in states.items():
+            if read + c in heads or raw and raw[-1] == c:
+                return True
+        return False
+
     def accepted(self, word: str, raw: str, tokens: list[str]) -> bool:
         chars = self.model.chars
         if raw != word and (not any(c.isalpha() for c in raw) or chars.restore(raw) != word):
@@ -256,6 +292,8 @@ class Spaced:
             while states and j + 1 < len(words):
                 j += 1
                 token = self.token(words[j])[0]
+                if not self.may_grow(states, token):
+                    break
                 states = {x: y for x, y in self.grown(states, token).items() if x}
                 tokens += [token] if token else []
                 for x, raw in states.items():
@@ -277,12 +315,12 @@ class Spaced:
 class _Memo(dict):
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.spaced = model, Spaced(model)
+        self.model, self.spaced, self.longest = model, Spaced(model), model.longest()
 
     def __missing__(self, raw: str) -> float:
         if len(self) >= _MEMO_WORDS:
             self.clear()
-        self[raw] = out = self.model.weight(raw)
+        self[raw] = out = self.model.weight(raw, self.longest)
         return out
 
 
@@ -353,6 +391,7 @@ def _gather(rows: DataFrame, chars: CharModel, only: set[str] | None) -> DataFra
 
         model, wanted = shared.value
         reader = Model(model, {}, 0.0)
+        longest = None if wanted is None else max([*map(len, wanted), *PREFIXES]) + 1
         memo: dict[str, list[str]] = {}
         docs: Counter = Counter()
         seen: dict[str, set[str]] = defaultdict(set)
@@ -366,7 +405,7 @@ def _gather(rows: DataFrame, chars: CharModel, only: set[str] | None) -> DataFra
                 for w in words:
                     fs = memo.get(w)
                     if fs is None:
-                        fs = memo[w] = [f for r in reader.readings(w) for f in features(r) if wanted is None or f in wanted]
+                        fs = memo[w] = [f for r in reader.readings(w, longest) for f in features(r) if wanted is None or f in wanted]
                     if fs:
                         found.update(fs)
                         if wanted is None:
@@ -394,7 +433,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = _training_rows(docs, labels, id_col, text_col, sample)
     toxic, clean = rows.where("toxic = 1"), rows.where("toxic <> 1")
     kind = F.col("feature").isin(_START, _STOP)
-    top = _gather(toxic, chars, None).where(kind | (F.col("contexts") >= 6)).orderBy(F.desc(kind), F.desc("contexts"), "feature").limit(10 * LEXICON)
+    top = _gather(toxic, chars, None).where(kind | (F.col("contexts") >= 6))
     pos = {r["feature"]: (r["docs"], r["contexts"]) for r in top.collect()}
     neg = {r["feature"]: r["docs"] for r in _gather(clean, chars, set(pos)).collect()}
     n_pos, n_neg = pos.pop(_START, (0, 0))[0], neg.pop(_START, 0)
@@ -408,8 +447,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         llr = math.log((docs_with + 0.5) / (n_pos + 1)) - math.log((neg.get(f, 0) + 0.5) / (n_neg + 1))
         if docs_with >= 2 and llr >= 2.5 and neg.get(f, 0) * 5 <= docs_with and contexts * rarity - 4 * neg.get(f, 0) >= 20:
             weights[f] = llr
-    keep = sorted(weights, key=lambda f: (-weights[f], f))[:LEXICON]
-    model = Model(chars, {f: weights[f] for f in keep}, 0.0)
+    model = Model(chars, weights, 0.0)
     # a share of toxic texts may show no known evidence even if no training row does
     model.bias = math.log((_count_missed(toxic, model) + UNSEEN * n_pos + 0.5) / (n_neg + 1))
     return model

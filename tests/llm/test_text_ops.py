@@ -261,6 +261,28 @@ def test_toxicity(spark, docs):
     assert kept.columns == df.columns and kept.where("doc_id = 1000").count() == 0 and kept.where("doc_id is null").count() == 1
 
 
+def test_words_of_any_length_are_decoded(spark, docs):
+    rows, labels = tox_rows()
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(rows), lab)
+    longest = model.longest()
+    rng = random.Random(4)
+    letters = "aeiourstlnmgbk0134$@!.-*x9"
+    for n in (3, 8, 20, 200):
+        for _ in range(30):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            whole, cut = model.chars.restore(word), model.chars.decode(word, longest)
+            assert cut[:longest] == whole[:longest]
+            assert model.weight(word) == model.weight(word, longest)
+    assert model.chars.restore("g" + "r" * 300 + "umb" + "0" * 200 + "lt") == "grumbolt"
+    assert model.weight("gr!!" + "." * 500 + "umbolt", longest) == model.weight("gr!!" + "." * 500 + "umbolt")
+    hostile = "".join(rng.choice("abc019$") for _ in range(400_000))  # no word: the readings agree early
+    assert model.weight(hostile, longest) == 0.0
+    df = docs([(1, "bara " + "s" + "!" * 100 + "tiso"), (2, "bara gr" + "u" * 90 + "mb0lt tiso"), (3, hostile)])
+    assert [r.predicted for r in toxicity.toxicity(docs(rows + [(1001, df.collect()[1].text), (1003, hostile)]), lab).where("doc_id > 1000").orderBy("doc_id").collect()] == [1, 0]
+    assert toxicity.disguised("@$$") and not toxicity.disguised("455") and not toxicity.disguised("2019")
+
+
 def test_words_with_spaces_inside(spark, docs):
     rows, labels = tox_rows()
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
