@@ -9,9 +9,11 @@ hardly ever holds must outweigh the longest run of words found outside of it, so
 that the scan never crosses it for an advert's sake.  One linear scan (Kadane) then
 finds the best contiguous region.
 
-Subtrees that are never article text (scripts, styles, navigation, asides, forms and
-elements named as adverts, comments, notices and the like) count as one tag in the
-scan and yield no text inside the region.
+Subtrees that are no article text (scripts, styles, navigation, asides, forms, and
+elements whose names say nothing but advert, comments, notice and the like) count as one tag in
+the scan and yield no text inside the region.  A name with another word in it (``login-guide``,
+``related-work``, ``has-sidebar``) says nothing, and a form or named container that holds an
+article, or most of the page's words, is content.  The header of an article, with its title, stays.
 """
 
 from __future__ import annotations
@@ -42,31 +44,66 @@ BOILERPLATE = frozenset("nav aside footer form button dialog menu head object ca
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time u var".split())
 #: Words in a class, id or role that mark an element as boilerplate.
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|comment|comments|commentlist|disqus|notice|notices|"
-    r"cookie|cookies|consent|gdpr|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|share|sharing|social|newsletter|subscribe|"
-    r"signup|related|recommended|popup|modal|widget|pagination|pager|toolbar|complementary|contentinfo|search|login|"
-    r"footer|masthead|disclaimer|copyright|skip-link)(?:$|[\s_-])", re.I)
+_LISTED = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banners?|sidebar|comments?|commentlist|disqus|notices?|cookies?|consent|gdpr|menu|nav|navbar|navigation|breadcrumbs?|"
+    r"share|sharing|social|newsletter|subscribe|signup|related|recommended|popup|modal|widgets?|pagination|pager|toolbar|complementary|contentinfo|search|login|"
+    r"footer|masthead|disclaimer|copyright", re.I)
+#: Words that may stand beside them without another meaning.
+_GENERIC = re.compile(
+    r"|\d\w*|bar|box|block|list|area|wrap|wrapper|container|inner|outer|section|panel|content|items?|links?|buttons?|icons?|form|message|text|title|header|head|body|"
+    r"top|bottom|left|right|main|site|page|global|primary|secondary|mobile|desktop|sticky|fixed|small|large|slot|unit|rail|col|column|row|clearfix|hidden|visible|js|"
+    r"is|no|the|and|of|to|posts?|articles?|stories|side|skip|link|responsive|thread|reader|user|privacy|policy|region|module|component|group", re.I)
+#: Elements that make a subtree look like an article.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 article main pre blockquote".split())
 
 VOCABULARY = BLOCKS | BOILERPLATE | VOID | INLINE | set(_RAW_END)
 #: Weights until labelled pages are seen.
-DEFAULT_WEIGHTS = {"word": 1.0, "tag": -200.0, "div": -3.0, "section": -3.0, **{t: -0.01 for t in (
+DEFAULT_WEIGHTS = {"word": 1.0, "tag": -200.0, "div": -3.0, "section": -3.0, "other": -0.5, **{t: -0.01 for t in (
     "p", "h1", "h2", "h3", "h4", "h5", "h6", "br", "blockquote", "pre", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody",
-    "thead", "tr", "td", "th", "figure", "figcaption", "hr", "img", *INLINE)}}
+    "thead", "tfoot", "tr", "td", "th", "caption", "col", "figure", "figcaption", "hr", "img", "details", "summary", "hgroup", "address", "center", "wbr", *INLINE)}}
 
 
-def _named(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element's name or attributes mark a boilerplate subtree."""
+def _says_boilerplate(value: str) -> bool:
+    """Whether a class, id or role consists of listed and generic words only, with a listed one among them."""
+    parts = re.split(r"[\s_-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value.strip()))
+    return any(_LISTED.fullmatch(w) for w in parts) and all(_LISTED.fullmatch(w) or _GENERIC.fullmatch(w) for w in parts)
+
+
+def _named(tag: str, attrs: str, inside: bool) -> str:
+    """Why an element looks like a boilerplate subtree: by its "element", its "name", or being "hidden"; empty if it does not."""
     if tag in BOILERPLATE or tag == "header" and not inside:
-        return True
+        return "element"
     if attrs and tag not in ("body", "html", "article", "main"):
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
-            if name in ("class", "id", "role") and _NAMED.search(value):
-                return True
             if name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return True
-    return False
+                return "hidden"
+            if name in ("class", "id", "role") and _says_boilerplate(value):
+                return "name"
+    return ""
+
+
+class _Subtrees:
+    """Sums over the tokens of a page: what lies between two of them."""
+
+    def __init__(self, flat: list[tuple[str, str, str, int, int]]):
+        self.words, self.prose, self.roots, self.titles = [0], [0], [0], [0]
+        for kind, x, *_ in flat:
+            is_open = kind == "open"
+            self.words.append(self.words[-1] + (len(x.split()) if kind == "text" else 0))
+            self.prose.append(self.prose[-1] + (is_open and x in _PROSE))
+            self.roots.append(self.roots[-1] + (is_open and x in ("article", "main")))
+            self.titles.append(self.titles[-1] + (is_open and x == "h1"))
+
+    def holds_article(self, tag: str, why: str, i: int, j: int) -> bool:
+        """Whether a suspected subtree is the page's content all the same: it holds an article, or most words of the
+        page and prose (a form around the page) or its title (a container whose name misleads)."""
+        if why == "hidden" or tag in BOILERPLATE - {"form", "aside"}:
+            return False
+        if self.roots[j] > self.roots[i]:
+            return True
+        most = 2 * (self.words[j] - self.words[i]) > self.words[-1]
+        return most and (self.prose[j] > self.prose[i] if tag == "form" else self.titles[j] > self.titles[i])
 
 
 def tokens(page: str) -> list[tuple[str, str, int]]:
@@ -111,12 +148,13 @@ def tokens(page: str) -> list[tuple[str, str, int]]:
             elif stack:
                 match[stack.pop()] = i
     out, i, depth = [], 0, 0
+    sums = _Subtrees(flat)
     while i < len(flat):
         kind, x, attrs, _, _ = flat[i]
         if kind in ("open", "close") and x in ("article", "main"):
             depth = max(0, depth + (1 if kind == "open" else -1))
             out.append((kind, x, depth if kind == "close" else depth - 1))
-        elif kind == "open" and i in match and _named(x, attrs, depth > 0):
+        elif kind == "open" and i in match and (why := _named(x, attrs, depth > 0)) and not sums.holds_article(x, why, i, match[i]):
             out.append(("skip", x + "\0" + " ".join(t for k, t, *_ in flat[i:match[i]] if k == "text"), depth))
             i = match[i]
         else:

@@ -32,6 +32,34 @@ def test_region_without_landmarks():
     assert html_extract.extract(page) == ("word " * 40).strip() + "\n\nmore words here"
 
 
+NAMED = ["<p class='login-guide'>bbb one</p>", "<section class='related-work'><p>ccc two</p></section>", "<p class='copyright law'>ddd three</p>",
+         "<div id='comments-on-method'>eee four</div>", "<x-note>fff five</x-note>", "<details><summary>ggg</summary> six</details>"]
+
+
+@pytest.mark.parametrize("weights", [None, "learned"])
+def test_elements_of_an_article_named_like_boilerplate_stay(spark, weights):
+    body = "".join(f"<p>aaa {i} {'word ' * 30}</p>{x}" for i, x in enumerate(NAMED)) + "<p>last words of it</p>"
+    learned = html_extract.learn_weights(spark.createDataFrame([(PAGE,)] * 3, "html string")) if weights else html_extract.DEFAULT_WEIGHTS
+    for page in (f"<html><body><div class='menu'><a>Home</a></div><div id=content>{body}</div><div class=footer>end of page</div></body></html>",
+                 f"<body><article>{body}</article></body>", f"<body><form action=/><nav>Home</nav>{body}<input></form></body>",
+                 f"<body><div class='layout has-sidebar'><article>{body}</article><div class='sidebar right'>not this</div></div></body>",
+                 f"<body><div class='content with-comments'><h1>Title</h1>{body}<div class='comments'><p>nor this</p></div></div></body>"):
+        got = html_extract.extract(page, learned)
+        for w in ("bbb one", "ccc two", "ddd three", "eee four", "fff five", "six", "aaa 5", "last words of it"):
+            assert w in got, (w, page[:60])
+        assert not any(w in got for w in ("Home", "end of page", "not this", "nor this"))
+
+
+def test_boilerplate_goes_without_landmarks(spark):
+    body = "".join(f"<p>{'text of the story ' * 12}</p>" for _ in range(4))
+    junk = ["<div class='ad-slot 300x250'>buy it</div>", "<div id=cookie-notice>we bake</div>", "<ul class='share-buttons'><li>tweet</li></ul>", "<aside>see also</aside>",
+            "<form><p>sign up now</p></form>", "<div class='newsletterSignup'>mail us</div>", "<div class='reader-comments'><p>first!</p></div>", "<nav>Home</nav>",
+            "<div style='display:none'>secret</div>", "<div role=navigation>up down</div>", "<script>x()</script>", "<div class='related posts'>more here</div>"]
+    for k in range(len(junk)):
+        page = f"<body><div class=top-menu>Menu of site</div><div class=story><h1>Title</h1>{body}{junk[k]}{body}</div>{''.join(junk)}</body>"
+        assert html_extract.extract(page) == "Title\n\n" + "\n\n".join([("text of the story " * 12).strip()] * 8), junk[k]
+
+
 def test_best_region_is_the_maximum(spark):
     rng = random.Random(1)
     weights = html_extract.DEFAULT_WEIGHTS | {"tag": -3.0, "p": -0.5}
