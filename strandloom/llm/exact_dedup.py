@@ -21,8 +21,37 @@ from .common import heavy_lookup, materialize, without_ids
 BITMAP_BITS = 32768
 
 
-def _slots(probes: int, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(i), F.col("digest")), F.lit(bits)) for i in range(probes)]
+def _slots(probes: int, bits: int, digest: Column | None = None) -> list[Column]:
+    digest = F.col("digest") if digest is None else digest
+    return [F.pmod(F.xxhash64(F.lit(i), digest), F.lit(bits)) for i in range(probes)]
+
+
+def filter_bits(rows: int, bits_per_row: int, max_bits: int) -> int:
+    """Bits of a filter for so many rows: whole bitmaps, doubled up to ``max_bits``."""
+    bits = BITMAP_BITS
+    while bits < min(max_bits, bits_per_row * rows):
+        bits *= 2
+    return bits
+
+
+def probed(rows: DataFrame, filt: DataFrame, digest: Column, probes: int, bits: int) -> DataFrame:
+    """``rows`` with ``again``: whether all slots of ``digest`` are set in the bitmaps ``filt``, which are broadcast."""
+    cols, x, hit = rows.columns, rows, F.lit(True)
+    for i, slot in enumerate(_slots(probes, bits, digest)):
+        own = filt.select(F.col("bucket").alias(f"_bucket{i}"), F.col("bitmap").alias(f"_bitmap{i}"))
+        x = x.withColumn(f"_slot{i}", slot).withColumn(f"_bucket{i}", F.floor(F.col(f"_slot{i}") / BITMAP_BITS))
+        x = x.join(F.broadcast(own), f"_bucket{i}", "left")
+        hit = hit & _bit(F.col(f"_bitmap{i}"), F.col(f"_slot{i}"))
+    return x.select(*cols, hit.alias("again"))
+
+
+def with_filter(rows: DataFrame, digest: Column, members: DataFrame, n_members: int, *, bits_per_row: int = 16, probes: int = 2,
+                max_bits: int = 1 << 28) -> DataFrame:
+    """``rows`` with ``again``: false only if ``digest`` is none of ``members`` (column ``digest``).  The filter has at most ``max_bits``."""
+    bits = filter_bits(n_members, bits_per_row, max_bits)
+    slots = members.select(F.explode(F.array(*_slots(probes, bits))).alias("slot"))
+    filt = slots.groupBy(F.floor(F.col("slot") / BITMAP_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(BITMAP_BITS))).alias("bitmap"))
+    return probed(rows, filt, digest, probes, bits)
 
 
 def _bit(bitmap: Column, slot: Column) -> Column:
@@ -55,28 +84,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("digest")), "digests")
     total = rows.count()
-    bits = BITMAP_BITS
-    while bits < min(max_bits, bits_per_row * total):
-        bits *= 2
-    filt = F.broadcast(repeated_slots(rows, probes, bits))
-
-    probed = rows
-    for i, slot in enumerate(_slots(probes, bits)):
-        own = filt.select(F.col("bucket").alias(f"bucket{i}"), F.col("bitmap").alias(f"bitmap{i}"))
-        probed = (probed.withColumn(f"slot{i}", slot)
-                  .withColumn(f"bucket{i}", F.floor(F.col(f"slot{i}") / BITMAP_BITS))
-                  .join(F.broadcast(own), f"bucket{i}", "left")
-                  .withColumn(f"hit{i}", _bit(F.col(f"bitmap{i}"), F.col(f"slot{i}"))))
-    hit = F.lit(True)
-    for i in range(probes):
-        hit = hit & F.col(f"hit{i}")
-    probed = probed.select("doc_id", "digest", hit.alias("again"))
-
-    again = probed.where("again").select("doc_id", "digest")
+    bits = filter_bits(total, bits_per_row, max_bits)
+    found = probed(rows, repeated_slots(rows, probes, bits), F.col("digest"), probes, bits)
+
+    again = found.where("again").select("doc_id", "digest")
     groups = again.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = materialize(groups, "groups")
     copies = heavy_lookup(again, groups, "digest", "group_size", total)
-    single = probed.where(~F.col("again")).select(
+    single = found.where(~F.col("again")).select(
         "doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     return single.unionByName(copies).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),

@@ -1,6 +1,8 @@
 """WARC archives, token files and the pipeline: exact round trips."""
 
+import gzip
 import hashlib
+import io
 import zlib
 
 import numpy as np
@@ -47,10 +49,65 @@ def test_filters_are_pushed_and_payloads_skipped(spark):
 
 def test_damage_is_found():
     member = bytearray(warc.gzip_member(warc.make_record({"page_id": 1, "url": "u", "record_type": "response", "payload_bytes": 3, "payload_digest": "x", "refers_to": None, "payload": b"abc"})))
-    assert next(warc.records(bytes(member), lambda r: True, True))["payload"] == b"abc"
+    assert next(warc.records(io.BytesIO(member), lambda r: True, True))["payload"] == b"abc"
     member[-8] ^= 1
     with pytest.raises(ValueError, match="damaged"):
-        list(warc.records(bytes(member), lambda r: True, True))
+        list(warc.records(io.BytesIO(member), lambda r: True, True))
+    for cut in (b"", member[:-20], b"no archive at all\r\n\r\n"):
+        if cut:
+            with pytest.raises(ValueError, match="damaged"):
+                list(warc.records(io.BytesIO(cut), lambda r: True, True))
+        else:
+            assert list(warc.records(io.BytesIO(cut), lambda r: True, True)) == []
+
+
+def foreign(kind, url, block, extra=""):
+    head = f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Record-ID: <urn:uuid:{url}>\r\nWARC-Target-URI: {url}\r\n{extra}Content-Length:{len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+FOREIGN = [foreign("warcinfo", "about%0A", b"software: other\r\n"), foreign("request", "http://a/", b"GET / HTTP/1.1\r\n\r\n"),
+           foreign("response", "http://a/", b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>one</p>\r\n\r\ntwo", "WARC-Payload-Digest: sha1:ABC\r\n"),
+           foreign("response", "http://b/", b"HTTP/1.1 200 OK\r\n\r\n" + bytes(range(256)) * 3000), foreign("revisit", "http://c/", b"HTTP/1.1 200 OK\r\n\r\n"), foreign("resource", "http://d/", b"")]
+
+
+def test_foreign_archives(spark, tmp_path):
+    layouts = {"plain.warc": b"".join(FOREIGN), "members.warc.gz": b"".join(gzip.compress(r) for r in FOREIGN), "whole.warc.gz": gzip.compress(b"".join(FOREIGN)),
+               "pairs.warc.gz": b"".join(gzip.compress(a + b) for a, b in zip(FOREIGN[::2], FOREIGN[1::2])) + b"\0" * 20}
+    for name, data in layouts.items():
+        (tmp_path / "sub").mkdir(exist_ok=True)
+        (tmp_path / "sub" / name).write_bytes(data)
+    (tmp_path / "notes.txt").write_text("no archive")
+    df = warc.read_archive(spark, f"file://{tmp_path}")
+    rows = df.collect()
+    assert len(rows) == len(FOREIGN) * len(layouts) and df.rdd.getNumPartitions() == len(layouts)
+    for r in rows:
+        if r.url == "http://a/" and r.record_type == "response":
+            assert bytes(r.payload) == b"<p>one</p>\r\n\r\ntwo" and r.payload_bytes == 17 and r.payload_digest == "sha1:ABC" and r.page_id is None
+        if r.url == "http://b/":
+            assert bytes(r.payload) == bytes(range(256)) * 3000
+    assert {r.record_type for r in rows} == {"warcinfo", "request", "response", "revisit", "resource"} and any(r.url == "about%0A" for r in rows)
+    assert df.where("record_type = 'response' and payload_bytes > 1000").count() == len(layouts)
+    assert warc.read_archive(spark, f"file://{tmp_path}/sub/plain.warc", payload=False).where("record_type = 'response'").count() == 2
+    with pytest.raises(Exception, match="no WARC archives"):
+        warc.read_archive(spark, f"file://{tmp_path}/nowhere").count()
+
+
+def test_unwanted_payloads_are_not_inflated():
+    big = warc.gzip_member(warc.make_record({"page_id": 1, "url": "u", "record_type": "response", "payload_bytes": 9, "payload_digest": "x", "refers_to": None, "payload": bytes(10_000_000)}))
+    broken = bytearray(big)
+    broken[-40:-8] = b"x" * 32  # only a reader that inflates the payload can find this
+    small = warc.gzip_member(warc.make_record({"page_id": 2, "url": "u", "record_type": "response", "payload_bytes": 3, "payload_digest": "y", "refers_to": None, "payload": b"abc"}))
+    assert [r["page_id"] for r in warc.records(io.BytesIO(bytes(broken) + small), lambda r: r["page_id"] == 2, True)] == [2]
+    assert [r["payload"] for r in warc.records(io.BytesIO(bytes(broken) + small), lambda r: True, False)] == [None, None]
+
+
+def test_revisits_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
+    more = [(100 + i, "u", f"page {i % 7} " * 30) for i in range(40)]
+    got = sorted(map(tuple, warc.round_trip(pages(spark, PAGES + more)).collect()), key=repr)
+    monkeypatch.undo()
+    assert got == sorted(map(tuple, warc.round_trip(pages(spark, PAGES + more)).collect()), key=repr)
 
 
 # --- tokens ---
