@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +40,7 @@ _SIGNS = {c for c in LOOKALIKES if not c.isdigit()}
 _MARKS = set("._-~^*'’`·•/\\|,:;​‌‍\xad")
 _EDGE = ".,;:?\"'()[]{}«»“”„…!-_*~"
 #: Words whose weight a worker remembers; different words whose characters wait to be counted.
-_MEMO_WORDS, _HELD_WORDS = 400_000, 100_000
+_MEMO_WORDS, _HELD_WORDS = 200_000, 60_000
 #: Trigrams whose probability a worker remembers; bits of a character in a packed trigram.
 _MEMO_GRAMS, _CHAR = 100_000, (1 << 21) - 1
 _START, _STOP = "\x02", "\x03"
@@ -232,17 +232,15 @@ class Spaced:
         self.model = model
         self.words = {w for w in model.weights if len(w) > 2 and not w.endswith("*")}
         self.heads = {w[:n] for w in self.words for n in range(1, len(w) + 1)}
-        self.known: dict[str, tuple[str, dict[str, str]]] = {}
 
-    def token(self, raw: str) -> tuple[str, dict[str, str]]:
-        """The token without edge punctuation (a single sign stays) and its readings that begin a word of the lexicon."""
-        out = self.known.get(raw)
-        if out is None:
-            if len(self.known) >= _MEMO_WORDS:
-                self.known.clear()
-            token = raw.strip(_EDGE) or (raw if len(raw) == 1 else "")
-            out = self.known[raw] = (token, {x: y for x, y in self.grown({"": ""}, token).items() if x})
-        return out
+    @staticmethod
+    def token(raw: str) -> str:
+        """The token without edge punctuation (a single sign stays)."""
+        return raw.strip(_EDGE) or (raw if len(raw) == 1 else "")
+
+    def start(self, raw: str) -> dict[str, str]:
+        """Readings of a token that begin a word of the lexicon, with the characters they read."""
+        return {x: y for x, y in self.grown({"": ""}, self.token(raw)).items() if x}
 
     def grown(self, states: dict[str, str], token: str) -> dict[str, str]:
         """``states`` (a reading and the characters it reads) after another token."""
@@ -281,17 +279,18 @@ class Spaced:
         apart = sum(chars.log_word(chars.restore(t) if disguised(t) else t) for t in tokens)
         return chars.log_word(word) + _DROP * (len(tokens) - 1) > apart
 
-    def evidence(self, words: list[str]) -> float:
-        """Largest sum over words that share no token; each different word counts once."""
+    def evidence(self, words: list[str], start: Callable[[str], dict[str, str]] | None = None) -> float:
+        """Largest sum over words that share no token; each different word counts once.  ``start`` may remember :meth:`start`."""
+        start = start or self.start
         ends: dict[int, list[tuple[int, str]]] = defaultdict(list)
         for i, first in enumerate(words):
-            token, states = self.token(first)
+            states = start(first)
             if not states or i and first == words[i - 1] and len(first) == 1:  # a drawn-out letter is read from its first
                 continue
-            tokens, j = [token], i
+            tokens, j = [self.token(first)], i
             while states and j + 1 < len(words):
                 j += 1
-                token = self.token(words[j])[0]
+                token = self.token(words[j])
                 if not self.may_grow(states, token):
                     break
                 states = {x: y for x, y in self.grown(states, token).items() if x}
@@ -313,24 +312,35 @@ class Spaced:
 
 
 class _Memo(dict):
+    """Weights of words; a word that begins a word of the lexicon, alone or behind a disguise, has its readings beside it."""
+
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.spaced, self.longest = model, Spaced(model), model.longest()
 
-    def __missing__(self, raw: str) -> float:
+    def __missing__(self, raw: str) -> float | tuple[float, dict[str, str]]:
         if len(self) >= _MEMO_WORDS:
             self.clear()
-        self[raw] = out = self.model.weight(raw, self.longest)
+        weight, states = self.model.weight(raw, self.longest), self.spaced.start(raw)
+        self[raw] = out = (weight, states) if states else weight
         return out
 
+    def weight(self, raw: str) -> float:
+        v = self[raw]
+        return v if type(v) is float else v[0]
+
+    def start(self, raw: str) -> dict[str, str] | None:
+        v = self[raw]
+        return None if type(v) is float else v[1]
+
 
 def score_text(text: str | None, model: Model, memo: _Memo) -> float:
     """Probability of label 1: prior and the evidence of each different word, and of words with spaces inside."""
     words = (text or "").lower().split()
     x = model.bias
     for w in set(words):
-        x += memo[w]
-    x += memo.spaced.evidence(words)
+        x += memo.weight(w)
+    x += memo.spaced.evidence(words, memo.start)
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
@@ -462,7 +472,7 @@ def _count_missed(toxic: DataFrame, model: Model) -> int:
 
         memo, n = _Memo(shared.value), 0
         for b in batches:
-            n += sum(not any(memo[w] for w in set((t.as_py() or "").lower().split())) for t in b.column(0))
+            n += sum(not any(memo.weight(w) for w in set((t.as_py() or "").lower().split())) for t in b.column(0))
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     return toxic.select("text").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
