@@ -369,11 +369,6 @@ WITH {_LIK} SELECT block_id, sample, al AS allele_id, round(sum(posterior), 6) A
 register("genotype_evidence", lambda t: (lambda lk: (lambda gts: G.evidence(G.genotype_likelihoods(gts, lk), gts.withColumn("ln_prior", F.lit(0.0))))(G.genotypes(lk, 2)))(likelihoods(t)).select(
     "block_id", "sample", R6(col("ln_evidence"), "ln_evidence")), f"""
 WITH {_LIK} SELECT block_id, sample, round(max(ln_l) + ln(sum(exp(ln_l - m))), 6) AS ln_evidence FROM (SELECT *, max(ln_l) OVER (PARTITION BY block_id, sample) AS m FROM g2) GROUP BY block_id, sample""", ("reads",))
-register("haplotype_ranks", lambda t: G.rank_haplotypes(likelihoods(t)).select("block_id", "sample", "haplotype_id", R6(col("ln_total"), "ln_total")), f"""
-WITH {_LIK} SELECT block_id, sample, haplotype_id, round(sum(ln_p), 6) AS ln_total FROM lk GROUP BY ALL""", ("reads",))
-register("population_em", lambda t: (lambda lk: G.population_em(lk, lk))(likelihoods(t)))
-register("trio_posteriors", lambda t: (lambda lk: G.trio_posteriors(G.genotype_likelihoods(G.genotypes(lk, 2), lk), "S0", "S1", "S2", top=6))(likelihoods(t)))
-register("clone_mixtures", lambda t: G.clone_mixtures(likelihoods(t)))
 register("read_assignment", lambda t: P.assign_reads(likelihoods(t)).groupBy("block_id", "sample").agg(
     F.count_if("is_ambiguous").alias("n_ambiguous"), F.count(F.lit(1)).alias("n")), f"""
 WITH {_LIK}, b AS (SELECT block_id, sample, read_id, ln_p, max(ln_p) OVER (PARTITION BY block_id, sample, read_id) AS m FROM lk),

@@ -57,6 +57,126 @@ def observation_stats(candidates: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_obs"), F.count_if(~col("reverse")).alias("n_forward"), F.sum("quality").alias("sum_quality"))
 
 
+#: Least share of reads by the size of an inserted or deleted sequence (first row whose size fits), with the
+#: least number of observations; long reads err by short indels.
+LONG_READ_INSERTIONS = ((2, 0.2, 2), (3, 0.1, 2), (20, 0.05, 2), (200, 0.05, 1), (500, 0.02, 1), (None, None, 1))
+LONG_READ_DELETIONS = ((2, 0.2, 2), (3, 0.1, 2), (50, 0.05, 2), (None, 0.1, 1))
+
+
+def _by_size(size: Column, share: Column, table: tuple) -> Column:
+    out = F.lit(False)
+    for upto, least, observations in reversed(table):
+        test = (col("n_obs") >= observations) & (share > least if least is not None else F.lit(True))
+        out = test if upto is None else F.when(size <= upto, test).otherwise(out)
+    return out
+
+
+def include_long_reads(depth: Column) -> Column:
+    """For reads with many small indel errors: the longer a gap, the less support it needs."""
+    share = col("n_obs") / depth
+    return F.when((F.length("ref") == 1) & (F.length("alt") == 1), (col("n_obs") > 1) & (share > 0.1)).when(
+        F.length("alt") > F.length("ref"), _by_size(F.length("alt"), share, LONG_READ_INSERTIONS)).otherwise(
+        _by_size(F.length("ref"), share, LONG_READ_DELETIONS))
+
+
+def include_cell(depth: Column, *, pooled: bool = False) -> Column:
+    """Single cells: a share of a fifth is likely, with more certainty asked of the pool than of one cell."""
+    return (col("n_obs") > 1) & include_somatic(depth, min_frequency=0.2, min_probability=0.8 if pooled else 0.5)
+
+
+def include_unknown_copy_number(depth: Column, normal: str | None, *, min_frequency: float = 0.01, min_probability: float = 0.75) -> Column:
+    """Samples of unknown copy number by the somatic rule, the normal sample by the germline rule."""
+    somatic = (col("n_obs") > 1) & include_somatic(depth, min_frequency=min_frequency, min_probability=min_probability)
+    return somatic if normal is None else F.when(col("sample") == normal, include_germline(depth)).otherwise(somatic)
+
+
+def any_sample_or_pool(observations: DataFrame, rule: Callable[[Column], Column], pooled: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Variants that ``rule`` accepts in a sample, or ``pooled`` in the sum of two samples or more; rows have ``depth``."""
+    keys = ["contig", "start_pos", "end_pos", "ref", "alt"]
+    x = observations.withColumn("_own", rule(col("depth")))
+    x = x.groupBy(*keys).agg(F.bool_or("_own").alias("_any"), F.count(F.lit(1)).alias("_samples"), *[F.sum(c).alias(c) for c in ("n_obs", "n_forward", "sum_quality", "depth")])
+    pool = F.lit(False) if pooled is None else (col("_samples") > 1) & pooled(col("depth"))
+    return x.where(col("_any") | pool).select(*keys)
+
+
+def match_key() -> Column:
+    """Variants with the same key count as one candidate: exact for substitutions; insertions at one place by their base if they
+    repeat one, else by their size and number of N; deletions by their begin."""
+    homopolymer = F.length(F.replace("alt", F.substring("alt", 1, 1), F.lit(""))) == 0
+    n = F.length("alt") - F.length(F.replace("alt", F.lit("N"), F.lit("")))
+    ins = F.concat_ws("/", F.lit("I"), "start_pos", F.when(homopolymer, F.substring("alt", 1, 1)).otherwise(F.concat_ws(".", F.length("alt"), n)))
+    dele = F.concat_ws("/", F.lit("D"), "start_pos")
+    return F.when(F.length("alt") > F.length("ref"), ins).when(F.length("alt") < F.length("ref"), dele).otherwise(F.concat_ws("/", F.lit("S"), "start_pos", "ref", "alt"))
+
+
+def include_simple(min_obs: int = 2) -> Column:
+    return col("n_obs") >= min_obs
+
+
+def include_germline(depth: Column, *, min_obs: int = 2, min_frequency: float = 0.1, min_mean_quality: float = 10.0) -> Column:
+    """Enough observations of enough quality and share, not all on one strand once there are many."""
+    one_strand = (col("n_obs") >= 10) & ((col("n_forward") == 0) | (col("n_forward") == col("n_obs")))
+    return ((col("n_obs") >= min_obs) & (col("n_obs") >= depth * min_frequency) & (col("sum_quality") >= min_mean_quality * col("n_obs")) & ~one_strand)
+
+
+def include_somatic(depth: Column, *, min_frequency: float = 0.01, min_probability: float = 0.75) -> Column:
+    """Whether the allele's share exceeds ``min_frequency`` with at least ``min_probability`` (Beta posterior)."""
+    below = N.beta_cdfs(F.array(F.array(col("n_obs") + 0.5, depth - col("n_obs") + 0.5, F.lit(min_frequency), F.lit(1.0))))
+    return 1 - F.get(below, F.lit(0)) >= min_probability
+
+
+#: Least share of reads by the size of an inserted or deleted sequence (first row whose size fits), with the
+#: least number of observations; long reads err by short indels.
+LONG_READ_INSERTIONS = ((2, 0.2, 2), (3, 0.1, 2), (20, 0.05, 2), (200, 0.05, 1), (500, 0.02, 1), (None, None, 1))
+LONG_READ_DELETIONS = ((2, 0.2, 2), (3, 0.1, 2), (50, 0.05, 2), (None, 0.1, 1))
+
+
+def _by_size(size: Column, share: Column, table: tuple) -> Column:
+    out = F.lit(False)
+    for upto, least, observations in reversed(table):
+        test = (col("n_obs") >= observations) & (share > least if least is not None else F.lit(True))
+        out = test if upto is None else F.when(size <= upto, test).otherwise(out)
+    return out
+
+
+def include_long_reads(depth: Column) -> Column:
+    """For reads with many small indel errors: the longer a gap, the less support it needs."""
+    share = col("n_obs") / depth
+    return F.when((F.length("ref") == 1) & (F.length("alt") == 1), (col("n_obs") > 1) & (share > 0.1)).when(
+        F.length("alt") > F.length("ref"), _by_size(F.length("alt"), share, LONG_READ_INSERTIONS)).otherwise(
+        _by_size(F.length("ref"), share, LONG_READ_DELETIONS))
+
+
+def include_cell(depth: Column, *, pooled: bool = False) -> Column:
+    """Single cells: a share of a fifth is likely, with more certainty asked of the pool than of one cell."""
+    return (col("n_obs") > 1) & include_somatic(depth, min_frequency=0.2, min_probability=0.8 if pooled else 0.5)
+
+
+def include_unknown_copy_number(depth: Column, normal: str | None, *, min_frequency: float = 0.01, min_probability: float = 0.75) -> Column:
+    """Samples of unknown copy number by the somatic rule, the normal sample by the germline rule."""
+    somatic = (col("n_obs") > 1) & include_somatic(depth, min_frequency=min_frequency, min_probability=min_probability)
+    return somatic if normal is None else F.when(col("sample") == normal, include_germline(depth)).otherwise(somatic)
+
+
+def any_sample_or_pool(observations: DataFrame, rule: Callable[[Column], Column], pooled: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Variants that ``rule`` accepts in a sample, or ``pooled`` in the sum of two samples or more; rows have ``depth``."""
+    keys = ["contig", "start_pos", "end_pos", "ref", "alt"]
+    x = observations.withColumn("_own", rule(col("depth")))
+    x = x.groupBy(*keys).agg(F.bool_or("_own").alias("_any"), F.count(F.lit(1)).alias("_samples"), *[F.sum(c).alias(c) for c in ("n_obs", "n_forward", "sum_quality", "depth")])
+    pool = F.lit(False) if pooled is None else (col("_samples") > 1) & pooled(col("depth"))
+    return x.where(col("_any") | pool).select(*keys)
+
+
+def match_key() -> Column:
+    """Variants with the same key count as one candidate: exact for substitutions; insertions at one place by their base if they
+    repeat one, else by their size and number of N; deletions by their begin."""
+    homopolymer = F.length(F.replace("alt", F.substring("alt", 1, 1), F.lit(""))) == 0
+    n = F.length("alt") - F.length(F.replace("alt", F.lit("N"), F.lit("")))
+    ins = F.concat_ws("/", F.lit("I"), "start_pos", F.when(homopolymer, F.substring("alt", 1, 1)).otherwise(F.concat_ws(".", F.length("alt"), n)))
+    dele = F.concat_ws("/", F.lit("D"), "start_pos")
+    return F.when(F.length("alt") > F.length("ref"), ins).when(F.length("alt") < F.length("ref"), dele).otherwise(F.concat_ws("/", F.lit("S"), "start_pos", "ref", "alt"))
+
+
 def include_simple(min_obs: int = 2) -> Column:
     return col("n_obs") >= min_obs
 

@@ -147,14 +147,15 @@ def population_em(likelihoods: DataFrame, haplotypes: DataFrame, keys: list[str]
 
 
 def trio_posteriors(likelihoods: DataFrame, mother: str, father: str, child: str, keys: list[str] = ("block_id",), *, top: int = 100,
-                    ln_denovo: float = math.log(1e-8)) -> DataFrame:
+                    ln_denovo: float = math.log(1e-8), transition: DataFrame | None = None) -> DataFrame:
     """Joint posteriors of mother, father and child genotypes (diploid, uniform parental prior).
 
     Each parent's list is cut to its ``top`` genotypes before they meet, the model's bound on combinations; the child
-    gets half its haplotypes from each parent, others cost a de novo event.
+    gets half its haplotypes from each parent.  With ``transition`` (see :mod:`strandloom.plans.mutation`) a parent passes
+    haplotypes on with the probability of the mutations between them; without it any other haplotype costs one de novo event.
     """
     keys = list(keys)
-    rank = F.row_number().over(W.partitionBy(*keys, "sample").orderBy(F.desc("ln_likelihood"), "haplotype_ids"))
+    rank = F.row_number().over(W.partitionBy(*keys, "sample").orderBy(F.desc(F.round("ln_likelihood", 9)), "haplotype_ids"))
     best = likelihoods.withColumn("_k", rank).where(col("_k") <= top).drop("_k")
     part = lambda s, p: best.where(col("sample") == s).select(*keys, col("haplotype_ids").alias(p), col("ln_likelihood").alias(f"ln_{p}"))
     x = part(mother, "m").join(part(father, "f"), keys).join(part(child, "c"), keys)
@@ -162,6 +163,14 @@ def trio_posteriors(likelihoods: DataFrame, mother: str, father: str, child: str
     way = lambda a, b: pass_on(col("m"), a) * pass_on(col("f"), b)
     c0, c1 = F.get("c", F.lit(0)), F.get("c", F.lit(1))
     inherited = F.when(c0 == c1, way(c0, c1)).otherwise(way(c0, c1) + way(c1, c0))
+    if transition is not None:
+        from .mutation import passed_on
+
+        x = x.join(transition, keys)
+        go = lambda a, b: passed_on(col("m"), a, col("transition")) * passed_on(col("f"), b, col("transition"))
+        child = F.when(c0 == c1, go(c0, c1)).otherwise(go(c0, c1) + go(c1, c0))
+        ln = col("ln_m") + col("ln_f") + col("ln_c") + F.log(F.greatest(child, F.lit(1e-300)))
+        return normalise(x.withColumn("is_denovo", inherited == 0).withColumn("ln_joint", ln).drop("transition"), "ln_joint", keys)
     some = F.when(F.arrays_overlap("c", "m") | F.arrays_overlap("c", "f"), ln_denovo).otherwise(2 * ln_denovo)
     ln = col("ln_m") + col("ln_f") + col("ln_c") + F.when(inherited > 0, F.log(inherited)).otherwise(some)
     return normalise(x.withColumn("is_denovo", inherited == 0).withColumn("ln_joint", ln), "ln_joint", keys)
@@ -221,6 +230,40 @@ def clone_mixtures(likelihoods: DataFrame, keys: list[str] = ("block_id",), *, c
 
 
 def rank_haplotypes(likelihoods: DataFrame, keys: list[str] = ("block_id", "sample")) -> DataFrame:
-    """Haplotypes by total likelihood, best first."""
+    """Haplotypes by total likelihood (to 9 decimals), best first; ties by their number."""
     x = likelihoods.groupBy(*keys, "haplotype_id").agg(F.sum("ln_p").alias("ln_total"))
-    return x.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("ln_total"), "haplotype_id")))
+    return x.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(F.round("ln_total", 9)), "haplotype_id")))
+
+
+def template_likelihoods(likelihoods: DataFrame, template: Column, keys: list[str] = ("block_id", "sample")) -> DataFrame:
+    """Likelihood of linked reads under a haplotype: the sum over the reads of a template."""
+    return likelihoods.groupBy(*keys, template.alias("template"), "haplotype_id").agg(F.sum("ln_p").alias("ln_p"), F.count(F.lit(1)).alias("n_reads"))
+
+
+def model_posterior(evidence: DataFrame, dummy: DataFrame, keys: list[str] = ("block_id", "sample")) -> DataFrame:
+    """Probability of a model against a dummy one of equal prior, from both ``ln_evidence``: ``posterior`` and its phred ``mp``."""
+    keys = list(keys)
+    x = evidence.join(dummy.select(*keys, col("ln_evidence").alias("_dummy")), keys)
+    p = 1 / (1 + F.exp(col("_dummy") - col("ln_evidence")))
+    return x.select(*keys, p.alias("posterior"), N.probability_to_phred(1 / (1 + F.exp(col("ln_evidence") - col("_dummy")))).alias("mp"))
+
+
+def collapse_duplicates(haplotypes: DataFrame, keys: list[str] = ("block_id",), *, sequence: str = "hap_seq", prior: str = "ln_prior") -> DataFrame:
+    """Of haplotypes with one sequence the most probable; ties by their number."""
+    w = W.partitionBy(*keys, sequence).orderBy(F.desc(prior), "haplotype_id")
+    return haplotypes.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def remove_unlikely(posteriors: DataFrame, least: float, keys: list[str] = ("block_id",), protected: Column | None = None) -> DataFrame:
+    """Haplotypes whose posterior, the mass of genotypes that hold them, reaches ``least`` in a sample; protected ones stay."""
+    keys = list(keys)
+    mass = posteriors.select(*keys, "sample", "posterior", F.explode(F.array_distinct("haplotype_ids")).alias("haplotype_id")).groupBy(*keys, "sample", "haplotype_id").agg(F.sum("posterior").alias("p"))
+    x = mass.groupBy(*keys, "haplotype_id").agg(F.max("p").alias("posterior"))
+    keep = col("posterior") >= least
+    return x.where(keep if protected is None else keep | protected)
+
+
+def coalescent_table(spark, max_sites: int, sizes: list[int], theta: float) -> DataFrame:
+    """``k, n, ln_p`` of :func:`coalescent_ln` for up to ``max_sites`` sites: a bounded table to join with."""
+    rows = [(k, n, coalescent_ln(k, n, theta)) for n in sizes for k in range(max_sites + 1)]
+    return spark.createDataFrame(rows, "k int, n int, ln_p double")

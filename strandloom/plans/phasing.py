@@ -63,6 +63,43 @@ def phase_sets(pairs: DataFrame, keys: list[str] = ("block_id", "sample"), *, mi
     return good.drop("_set")
 
 
+def phase_cliques(pairs: DataFrame, keys: list[str] = ("block_id", "sample"), *, min_score: float = 5.0) -> DataFrame:
+    """Sets of sites all of whose pairs reach ``min_score``: ``sites`` (ascending) and ``quality``, the least of their pairs.
+
+    Sites are taken in order; a site joins the set that is open if it agrees with all its members, else it opens the next.
+    ``pairs`` holds every pair of a block's heterozygous sites, which a block bounds.
+    """
+    keys = list(keys)
+    import pandas as pd
+
+    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        score = {(a, b): q for a, b, q in zip(pdf["site_a"], pdf["site_b"], pdf["quality"])}
+        sites = sorted({*pdf["site_a"], *pdf["site_b"]})
+        open_, least, rows = [sites[0]], float("inf"), []
+        for s in sites[1:]:
+            worst = min(score.get((m, s), float("-inf")) for m in open_)
+            if worst >= min_score:
+                open_, least = [*open_, s], min(least, worst)
+            else:
+                rows.append((*group, open_, least))
+                open_, least = [s], float("inf")
+        rows.append((*group, open_, least))
+        return pd.DataFrame([(*r[:-2], [int(x) for x in r[-2]], None if r[-1] == float("inf") else r[-1]) for r in rows], columns=[*keys, "sites", "quality"])
+
+    schema = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys) + ", sites array<bigint>, quality double"
+    return pairs.groupBy(*keys).applyInPandas(run, schema)
+
+
+def assign(likelihoods: DataFrame, action: str = "drop", keys: list[str] = ("block_id", "sample"), *, seed: int = 1, eps: float = 1e-9) -> DataFrame:
+    """One row per read and haplotype it goes to.  Reads with several best haplotypes are dropped, or go to the ``first``, to one
+    chosen by a seeded hash (``random``), or to ``all``."""
+    x = assign_reads(likelihoods, keys, eps=eps)
+    ids = col("haplotype_ids")
+    chosen = {"drop": F.when(~col("is_ambiguous"), ids), "first": F.slice(ids, 1, 1), "all": ids,
+              "random": F.array(F.get(ids, F.pmod(F.xxhash64(F.lit(seed), "read_id"), F.size(ids)).cast("int")))}[action]
+    return x.select(*keys, "read_id", "is_ambiguous", "ln_likelihood", F.explode(chosen).alias("haplotype_id"))
+
+
 def vcf_lines(calls: DataFrame) -> DataFrame:
     """Text lines of single-sample records; positions are one-based."""
     called = F.filter("gt", lambda g: g > 0)

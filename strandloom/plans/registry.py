@@ -28,6 +28,8 @@ def register(name: str, plan: Plan, sql: str | None = None, tables: tuple[str, .
     if sql is not None and tables:
         head = sql_with(*tables)
         body = sql.strip()
+        if body[:15].upper() == "WITH RECURSIVE ":
+            head, body = "WITH RECURSIVE " + head[5:], "WITH " + body[15:]
         sql = head.rstrip() + ",\n" + body[5:] if body[:5].upper() == "WITH " else head + body
     ENTRIES[name] = Entry(plan, sql)
 

@@ -6,7 +6,7 @@ sequences span lines, is read as whole files, one task each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,9 +77,10 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path)
     groups = lines.where(col("value").startswith("@RG")).select(
         F.regexp_extract("value", r"\tID:([^\t]*)", 1).alias("read_group"), F.regexp_extract("value", r"\tSM:([^\t]*)", 1).alias("sample"))
-    c = F.split("value", r"\t")
+    cells = F.split("value", r"\t")
+    c = [F.get(cells, F.lit(i)) for i in range(11)]
     flag = c[1].cast("int")
-    tags = F.map_from_entries(F.transform(F.filter(F.slice(c, 12, F.size(c)), lambda t: t.rlike("^[A-Za-z][A-Za-z0-9]:.:")), lambda t: F.struct(
+    tags = F.map_from_entries(F.transform(F.filter(F.slice(cells, 12, F.size(cells)), lambda t: t.rlike("^[A-Za-z][A-Za-z0-9]:.:")), lambda t: F.struct(
         F.substring(t, 1, 2).alias("k"), F.substr(t, F.lit(6), F.length(t)).alias("v"))))
     x = lines.where(~col("value").startswith("@")).select(
         c[0].alias("name"), c[2].alias("contig"), (c[3].cast("bigint") - 1).alias("pos"), c[4].cast("smallint").alias("mq"), C.parse(c[5]).alias("cigar"),
@@ -105,7 +106,7 @@ def _supplementary(s: Column) -> Column:
     return F.struct(f[0].alias("contig"), begin.alias("start_pos"), (begin + C.reference_size(ops)).alias("end_pos"), f[3].alias("cigar"), (f[2] == "+").alias("forward"), f[4].cast("smallint").alias("mq"))
 
 
-def sam_lines(reads: DataFrame) -> DataFrame:
+def sam_lines(reads: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Text lines of alignments (without header)."""
     flag = sum((F.when(col(n), bit).otherwise(0) for n, bit in _FLAGS.items()), F.lit(0))
     flag = flag + F.when(F.coalesce("mate.unmapped", F.lit(False)), 8).otherwise(0) + F.when(F.coalesce("mate.reverse", F.lit(False)), 32).otherwise(0)
@@ -115,7 +116,32 @@ def sam_lines(reads: DataFrame) -> DataFrame:
     mate = F.coalesce(F.when(col("mate.contig") == col("contig"), F.lit("=")).otherwise(col("mate.contig")), F.lit("*"))
     cells = ["name", flag.cast("string"), "contig", F.when(col("contig") == "*", "0").otherwise((col("start_pos") + front + 1).cast("string")), col("mq").cast("string"), F.coalesce(F.nullif(C.to_text(col("cigar")), F.lit("")), F.lit("*")), mate,
              F.coalesce(col("mate.begin") + 1, F.lit(0)).cast("string"), F.coalesce("mate.tlen", F.lit(0)).cast("string"), F.when(col("seq") == "", "*").otherwise(col("seq")), quals]
-    return reads.select(F.concat_ws("\t", *cells, F.array_join(tags, "\t")).alias("_l")).select(F.regexp_replace("_l", r"\t$", "").alias("line"))
+    return reads.select(*keep, F.concat_ws("\t", *cells, F.array_join(tags, "\t")).alias("_l")).select(*keep, F.regexp_replace("_l", r"\t$", "").alias("line"))
+
+
+def write_sam(reads: DataFrame, path: str, contig_sizes: Mapping[str, int], *, header: list[str] = (), compression: str | None = "gzip") -> None:
+    """Sorted text files of alignments, each with the template's ``header`` lines (read groups and the like) and the contigs."""
+    order = F.create_map(*[v for i, k in enumerate(contig_sizes) for v in (F.lit(k), F.lit(i))])
+    head = "\n".join(["@HD\tVN:1.6\tSO:coordinate", *[f"@SQ\tSN:{k}\tLN:{n}" for k, n in contig_sizes.items()], *header])
+    x = sam_lines(reads.withColumn("_c", F.element_at(order, "contig")), keep=["_c", "start_pos", "name"])
+    x = x.repartitionByRange("_c", "start_pos").sortWithinPartitions("_c", "start_pos", "name")
+    _write_with_head(x.select(col("line").alias("value")), head, path, compression)
+
+
+def _write_with_head(lines: DataFrame, head: str, path: str, compression: str | None) -> None:
+    """Text files each of which begins with ``head``, so that each is complete."""
+    def with_header(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        fresh = True
+        for b in batches:
+            values = b.column(0).to_pylist()
+            if fresh and values:
+                values, fresh = [head, *values], False
+            yield pa.RecordBatch.from_pydict({"value": pa.array(values, pa.string())})
+
+    writer = lines.mapInArrow(with_header, "value string").write
+    (writer.option("compression", compression) if compression else writer).text(path)
 
 
 # --- VCF ---
@@ -135,10 +161,25 @@ def vcf_header(spark: SparkSession, path: str) -> tuple[list[str], dict[tuple[st
     return samples, fields
 
 
-def read_vcf(spark: SparkSession, path: str, *, sites_only: bool = False) -> DataFrame:
-    """Records with zero-based regions: ``info`` as map of lists, ``samples`` as map of genotype and format fields."""
+def read_vcf(spark: SparkSession, path: str, *, sites_only: bool = False, contig: str | None = None, begin: int | None = None, end: int | None = None) -> DataFrame:
+    """Records with zero-based regions: ``info`` as map of lists, ``samples`` as map of genotype and format fields.
+
+    A region keeps the records that overlap it; lines of other contigs are refused before they are split.
+    """
     samples, _ = vcf_header(spark, path)
-    c = F.split("value", r"\t")
+    lines = spark.read.text(path)
+    if contig is not None:
+        lines = lines.where(col("value").startswith(contig + "\t"))
+    out = parse_vcf(lines, samples, sites_only=sites_only)
+    if end is not None:
+        out = out.where(col("start_pos") < max(end, (begin or 0) + 1))
+    return out if begin is None else out.where(F.greatest("end_pos", col("start_pos") + 1) > begin)
+
+
+def parse_vcf(lines: DataFrame, samples: list[str], *, sites_only: bool = False) -> DataFrame:
+    """Records of text lines (column ``value``); header lines and empty ones are left out."""
+    cells = F.split("value", r"\t")
+    c = [F.get(cells, F.lit(i)) for i in range(9)]
     missing = lambda x: F.when(x != ".", x)
     split_info = F.transform(F.filter(F.split(c[7], ";"), lambda s: (s != ".") & (s != "")), lambda s: F.struct(
         F.substring_index(s, "=", 1).alias("k"), F.when(s.contains("="), F.split(F.substr(s, F.instr(s, "=") + 1, F.length(s)), ",")).otherwise(F.array().cast("array<string>")).alias("v")))
@@ -147,58 +188,76 @@ def read_vcf(spark: SparkSession, path: str, *, sites_only: bool = False) -> Dat
             F.filter(F.split(c[6], ";"), lambda f: ~f.isin("PASS", ".")).alias("filter"), F.map_from_entries(split_info).alias("info")]
     if samples and not sites_only:
         keys = F.split(c[8], ":")
-        entries = [F.struct(F.lit(s).alias("k"), _genotype(keys, F.split(c[9 + i], ":")).alias("v")) for i, s in enumerate(samples)]
-        cols.append(F.map_from_entries(F.array(*entries)).alias("samples"))
-    return spark.read.text(path).where(~col("value").startswith("#") & (F.trim("value") != "")).select(*cols)
+        # one expression for all samples, however many there are
+        entries = F.zip_with(F.array(*[F.lit(s) for s in samples]), F.slice(cells, 10, len(samples)), lambda s, v: F.struct(s.alias("k"), _genotype(keys, F.split(v, ":")).alias("v")))
+        cols.append(F.map_from_entries(entries).alias("samples"))
+    return lines.where(~col("value").startswith("#") & (F.trim("value") != "")).select(*cols)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it uses several times but that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _genotype(keys: Column, values: Column) -> Column:
-    padded = F.transform(keys, lambda k, i: F.coalesce(F.get(values, i), F.lit(".")))
-    fmt = F.map_from_arrays(keys, F.transform(padded, lambda v: F.split(v, ",")))
-    gt = F.coalesce(F.get(F.try_element_at(fmt, F.lit("GT")), F.lit(0)), F.lit(""))
-    calls = F.transform(F.filter(F.split(gt, r"[/|]"), lambda g: g != ""), lambda g: g.try_cast("int"))
-    phase = F.get(F.try_element_at(fmt, F.lit("PS")), F.lit(0)).try_cast("bigint")
-    return F.struct(calls.alias("gt"), gt.contains("|").alias("phased"), phase.alias("phase_set"), F.map_filter(fmt, lambda k, v: k != "GT").alias("fmt"))
+    padded = F.transform(keys, lambda k, i: F.split(F.coalesce(F.get(values, i), F.lit(".")), ","))
 
+    def fields(fmt: Column) -> Column:
+        gt = F.coalesce(F.get(F.try_element_at(fmt, F.lit("GT")), F.lit(0)), F.lit(""))
+        calls = F.transform(F.filter(F.split(gt, r"[/|]"), lambda g: g != ""), lambda g: g.try_cast("int"))
+        phase = F.get(F.try_element_at(fmt, F.lit("PS")), F.lit(0)).try_cast("bigint")
+        return F.struct(calls.alias("gt"), gt.contains("|").alias("phased"), phase.alias("phase_set"), F.map_filter(fmt, lambda k, v: k != "GT").alias("fmt"))
 
-def write_vcf(records: DataFrame, path: str, samples: list[str], contig_sizes: Mapping[str, int], *, header: list[str] = (), compression: str | None = "gzip") -> None:
-    """Sorted text files of ``records`` (schema of :func:`read_vcf`): a range-partitioned sort by contig order and position.
+    return _let(F.map_from_arrays(keys, padded), fields)
 
-    Every part begins with the header, so that each is a complete file.
-    """
-    order = F.create_map(*[x for i, k in enumerate(contig_sizes) for x in (F.lit(k), F.lit(i))])
+
+def vcf_line(records: DataFrame, samples: list[str]) -> Column:
+    """The text line of a record; the format keys are those that any sample has, GT first."""
     join = lambda xs: F.when(F.size(xs) == 0, ".").otherwise(F.array_join(xs, ","))
     info = F.array_join(F.transform(F.array_sort(F.map_entries("info")), lambda e: F.when(F.size(e["value"]) == 0, e["key"]).otherwise(
         F.concat(e["key"], F.lit("="), F.array_join(e["value"], ",")))), ";")
     cells = [col("contig"), (col("start_pos") + 1).cast("string"), F.coalesce("id", F.lit(".")), col("ref"), join(col("alt")), F.coalesce(col("qual").cast("string"), F.lit(".")),
              F.when(F.size("filter") == 0, "PASS").otherwise(F.array_join("filter", ";")), F.when(info == "", ".").otherwise(info)]
     if samples and "samples" in records.columns:
-        first = F.element_at("samples", F.lit(samples[0]))
-        keys = F.array_sort(F.map_keys(first["fmt"]))
-        cells.append(F.array_join(F.concat(F.array(F.lit("GT")), keys), ":"))
-        for s in samples:
-            v = F.element_at("samples", F.lit(s))
+        keys = F.array_sort(F.array_distinct(F.flatten(F.transform(F.map_values("samples"), lambda v: F.map_keys(v["fmt"])))))
+
+        def cell(v: Column, ks: Column) -> Column:
             alleles = F.transform(v["gt"], lambda g: F.coalesce(g.cast("string"), F.lit(".")))
             gt = F.when(v["phased"], F.array_join(alleles, "|")).otherwise(F.array_join(alleles, "/"))
-            own = _format_values(keys, v["fmt"])
-            cells.append(F.array_join(F.concat(F.array(gt), own), ":"))
+            return F.array_join(F.concat(F.array(gt), _format_values(ks, v["fmt"])), ":")
+
+        names = F.array(*[F.lit(s) for s in samples])
+        cells.append(_let(keys, lambda ks: F.concat_ws("\t", F.array_join(F.concat(F.array(F.lit("GT")), ks), ":"), F.array_join(F.transform(
+            names, lambda s: cell(F.element_at(col("samples"), s), ks)), "\t"))))
+    return F.concat_ws("\t", *cells)
+
+
+def merge_records(tables: list[DataFrame], contig_order: Mapping[str, int]) -> DataFrame:
+    """Records of several tables in one order (contig, position, alleles); of equal sites the one of the first table that has it.
+
+    The order is a range-partitioned sort: parts follow one another, and no part is a whole contig.
+    """
+    x = tables[0].withColumn("_t", F.lit(0))
+    for i, t in enumerate(tables[1:], 1):
+        x = x.unionByName(t.withColumn("_t", F.lit(i)))
+    own = [c for c in tables[0].columns if c not in ("contig", "start_pos", "ref", "alt")]
+    first = x.groupBy("contig", "start_pos", "ref", "alt").agg(F.min_by(F.struct(*own), "_t").alias("_r")).select("contig", "start_pos", "ref", "alt", *[col(f"_r.{c}").alias(c) for c in own])
+    order = F.element_at(F.create_map(*[v for k, i in contig_order.items() for v in (F.lit(k), F.lit(i))]), "contig")
+    return first.orderBy(order, "start_pos", "ref", F.array_join("alt", ",")).select(*tables[0].columns)
+
+
+def write_vcf(records: DataFrame, path: str, samples: list[str], contig_sizes: Mapping[str, int], *, header: list[str] = (), compression: str | None = "gzip") -> None:
+    """Sorted text files of ``records`` (schema of :func:`read_vcf`): a range-partitioned sort by contig order and position.
+
+    Every part begins with the header, so that each is a complete file.
+    """
+    order = F.create_map(*[x for i, k in enumerate(contig_sizes) for x in (F.lit(k), F.lit(i))])
     head = "\n".join(["##fileformat=VCFv4.3", *header, *[f"##contig=<ID={k},length={v}>" for k, v in contig_sizes.items()],
                       "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *samples] if samples else [])])])
-    x = records.select(F.element_at(order, "contig").alias("_c"), "start_pos", "ref", F.concat_ws("\t", *cells).alias("value"))
+    x = records.select(F.element_at(order, "contig").alias("_c"), "start_pos", "ref", vcf_line(records, samples).alias("value"))
     x = x.repartitionByRange("_c", "start_pos").sortWithinPartitions("_c", "start_pos", "ref")
 
-    def with_header(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        fresh = True
-        for b in batches:
-            values = b.column(0).to_pylist()
-            if fresh and values:
-                values, fresh = [head, *values], False
-            yield pa.RecordBatch.from_pydict({"value": pa.array(values, pa.string())})
-
-    writer = x.select("value").mapInArrow(with_header, "value string").write
-    (writer.option("compression", compression) if compression else writer).text(path)
+    _write_with_head(x.select("value"), head, path, compression)
 
 
 def _format_values(keys: Column, fmt: Column) -> Column:
