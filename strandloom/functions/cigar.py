@@ -114,9 +114,16 @@ def walk(ops: Column, begin: Column) -> Column:
     return F.aggregate(ops, zero, step)["out"]
 
 
-def section(ops: Column, begin: Column, start: Column, end: Column) -> Column:
+def is_gapless(ops: Column) -> Column:
+    """Whether each base of the read stands on a reference position of its own."""
+    return F.forall(ops, lambda o: o["flag"].isin("M", "=", "X", "S"))
+
+
+def section(ops: Column, begin: Column, start: Column, end: Column, *, gapless: Column | None = None, stop: Column | None = None) -> Column:
     """``struct(off, size)``: the bases of a read from ``begin`` that lie on [start, end) of the reference.
 
+    Where ``gapless`` (see :func:`is_gapless`, worked out once a read) holds, the place is plain arithmetic up to the read's end ``stop``.
+
     An insertion belongs to the base in front of it; on an empty region it is all there is.  Deleted positions
     have no bases.  Positions outside of the read are left out.
     """
@@ -131,6 +138,10 @@ def section(ops: Column, begin: Column, start: Column, end: Column) -> Column:
     empty = start == end
     off = before(start, lambda at: F.when(empty, at < start).otherwise(at <= start))
     upto = before(end, lambda at: at <= end)
+    if gapless is not None:
+        plain = lambda pos: F.least(F.greatest(pos - begin, F.lit(0)), stop - begin).cast("int")
+        known = F.coalesce(gapless, F.lit(False))
+        off, upto = F.when(known, plain(start)).otherwise(off), F.when(known, plain(end)).otherwise(upto)
     return F.struct(off.alias("off"), F.greatest(upto - off, F.lit(0)).alias("size"))
 
 

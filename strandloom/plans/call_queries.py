@@ -80,13 +80,13 @@ def facets(t):
                      F.when(col("is_somatic") & (col("i") == 2), F.concat(own, F.array(F.lit(2)))).otherwise(own).alias("gt"), "gq", F.lit(2).alias("ploidy"),
                      F.when(col("i") > 0, col("mp") + col("i")).alias("gt_mp"), (col("i") == 0).alias("is_child"))
     raw = aligned(t)
-    reads = with_duplicate_groups(raw.where("mq >= 20"), policy="aggressive").withColumn("ln_likelihood", -(col("read_id") % 37) / 3.0)
+    reads = with_duplicate_groups(raw.where("mq >= 20"), policy="aggressive").withColumn("ln_likelihood", -(col("read_id") % 37) / 3.0).withColumn("gapless", C.is_gapless(col("cigar")))
     return calls, gts, reads, raw
 
 
 def support_of(calls, reads):
     x = I.interval_join(calls, reads)
-    cut = C.section(col("r.cigar"), col("r.start_pos"), col("l.start_pos"), col("l.end_pos"))
+    cut = C.section(col("r.cigar"), col("r.start_pos"), col("l.start_pos"), col("l.end_pos"), gapless=col("r.gapless"), stop=col("r.end_pos"))
     base = F.substr("r.seq", cut["off"] + 1, F.least(cut["size"], F.lit(1)))
     x = x.withColumn("base", base).withColumn("allele", F.when(col("base") == "A", 0).when(col("base") == "G", 1).when(col("base") == "C", 2))
     ambiguous = x.where("base = 'T'").select(col("l.call_id").alias("call_id"), col("r.sample").alias("sample"))
@@ -223,10 +223,11 @@ _REFERENCE = """rf AS (SELECT CAST(p_partkey % 5 AS VARCHAR) AS contig, p_partke
   md5('3/' || CAST(p_partkey AS VARCHAR)) || md5('4/' || CAST(p_partkey AS VARCHAR)) || md5('5/' || CAST(p_partkey AS VARCHAR)) || md5('6/' || CAST(p_partkey AS VARCHAR)) || md5('7/' || CAST(p_partkey AS VARCHAR)),
   '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM part),
 bs AS (SELECT contig, chunk * 256 + i - 1 AS p, seq[i:i] AS b FROM (SELECT *, unnest(range(1, 257)) AS i FROM rf))"""
-_REPEATS = """rp AS (WITH eq AS (SELECT a.contig, a.p, q.q FROM bs a JOIN (SELECT unnest([1, 2, 3]) AS q) q ON true JOIN bs b ON b.contig = a.contig AND b.p = a.p + q.q AND b.b = a.b),
-  isl AS (SELECT *, p - row_number() OVER (PARTITION BY contig, q ORDER BY p) AS g FROM eq), run AS (SELECT contig, q, min(p) AS s, max(p) + 1 + q AS e FROM isl GROUP BY contig, q, g HAVING count(*) >= 2 * q)
-  SELECT run.contig, s AS start_pos, e AS end_pos, CAST(q AS BIGINT) AS period FROM run JOIN bs x ON x.contig = run.contig AND x.p = s JOIN bs y ON y.contig = run.contig AND y.p = s + 1 JOIN bs w ON w.contig = run.contig AND w.p = s + 2
-  WHERE q = 1 OR NOT (x.b = y.b AND (q = 2 OR y.b = w.b)))"""
+_REPEATS = """rp AS (WITH nx AS (SELECT contig, p, b, lead(b, 1) OVER w AS n1, lead(b, 2) OVER w AS n2, lead(b, 3) OVER w AS n3 FROM bs WINDOW w AS (PARTITION BY contig ORDER BY p)),
+  eq AS (SELECT contig, p, b, n1, n2, q FROM nx, (SELECT unnest([1, 2, 3]) AS q) WHERE b = CASE q WHEN 1 THEN n1 WHEN 2 THEN n2 ELSE n3 END),
+  isl AS (SELECT *, p - row_number() OVER (PARTITION BY contig, q ORDER BY p) AS g FROM eq),
+  run AS (SELECT contig, q, min(p) AS s, max(p) + 1 + q AS e, arg_min(b, p) AS x, arg_min(n1, p) AS y, arg_min(n2, p) AS z FROM isl GROUP BY contig, q, g HAVING count(*) >= 2 * q)
+  SELECT contig, s AS start_pos, e AS end_pos, CAST(q AS BIGINT) AS period FROM run WHERE q = 1 OR NOT (x = y AND (q = 2 OR y = z)))"""
 
 
 def repeats(t):

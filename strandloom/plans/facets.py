@@ -99,8 +99,9 @@ def sequence_support(calls: DataFrame, reads: DataFrame, **options) -> tuple[Dat
 
     The direct form for calls whose alleles can be told apart by the bases alone, without an alignment to haplotypes.
     """
+    reads = reads.withColumn("gapless", C.is_gapless(col("cigar")))
     x = interval_join(calls, reads, **options)
-    cut = C.section(col("r.cigar"), col("r.start_pos"), col("l.start_pos"), col("l.end_pos"))
+    cut = C.section(col("r.cigar"), col("r.start_pos"), col("l.start_pos"), col("l.end_pos"), gapless=col("r.gapless"), stop=col("r.end_pos"))
     shown = F.substr("r.seq", cut["off"] + 1, cut["size"])
     alleles = F.concat(F.array("l.ref"), col("l.alts"))
     x = x.withColumn("allele", (F.array_position(alleles, shown) - 1).cast("int"))
@@ -115,7 +116,7 @@ def support_rows(pairs: DataFrame) -> DataFrame:
     return pairs.select("l.call_id", col("l.start_pos").alias("call_start"), col("l.end_pos").alias("call_end"), "r.sample", "allele",
                         F.get(F.concat(F.array("l.ref"), col("l.alts")), col("allele")).alias("allele_seq"), col("r.start_pos").alias("read_start"),
                         col("r.end_pos").alias("read_end"), "r.seq", "r.quals", "r.cigar", "r.mq", "r.reverse", "r.supplementary", opt("dup_group", "bigint"),
-                        opt("ln_likelihood", "double"), opt("is_somatic_allele", "boolean"))
+                        opt("gapless", "boolean"), opt("ln_likelihood", "double"), opt("is_somatic_allele", "boolean"))
 
 
 def indel_padded(ref: Column, alts: Column) -> Column:

@@ -92,7 +92,7 @@ prepared("n_supplementary", "support", "allele", lambda: F.count_if(col("supplem
 prepared("non_match_bases", "support", "allele", lambda: F.sum(C.sum_non_matches(col("cigar"))))
 prepared("support_bases", "support", "allele", lambda: F.sum(F.length("seq")))
 prepared("stdev_error", "support", "allele", lambda: F.stddev_pop(C.sum_non_matches(col("cigar")) / F.length("seq")))
-prepared("median_bq", "support", "allele", lambda: F.median(F.array_min(_section_quals())))
+prepared("median_bq", "support", "allele", lambda: F.median(F.array_min("sec_quals")))
 prepared("n_left", "support", "allele", lambda: F.count_if(_spans_half() | ~_in_right_half()))
 prepared("n_right", "support", "allele", lambda: F.count_if(_spans_half() | _in_right_half()))
 prepared("n_end", "support", "allele", lambda: F.count_if(_contained() & (_in_first_bases() | _in_last_bases())))
@@ -102,7 +102,7 @@ prepared("n_head", "support", "allele", lambda: F.count_if(_contained() & ~_in_t
 prepared("dup_reads", "duplicates", "allele", lambda: F.sum(F.when(col("n_of_group") > 1, col("n_of_group") - 1).otherwise(1)))
 prepared("mean_likelihood", "support", "allele", lambda: F.floor(F.avg(F.floor(-col("ln_likelihood") / N.LN10_DIV_10))))
 prepared("n_mismatched", "support", "sample", lambda: F.count_if(_section_differs()))
-prepared("n_base_mismatches", "support", "sample", lambda: F.sum(S.hamming(_section_part(), _allele_part())))
+prepared("n_base_mismatches", "support", "sample", lambda: F.sum(F.when(col("sec_part") == col("allele_part"), 0).otherwise(S.hamming(col("sec_part"), col("allele_part")))))
 prepared("base_mismatch_quals", "support", "sample", lambda: F.median(_worst_mismatch_quality()))
 prepared("n_assigned", "support", "sample", lambda: F.count(F.lit(1)))
 prepared("n_misaligned", "support", "sample", lambda: F.count_if(C.sum_non_matches(col("cigar")) > 5 * F.ceil(_expected_errors())))
@@ -122,45 +122,25 @@ def _call() -> R.Region:
     return R.Region(col("call_start"), col("call_end"))
 
 
-def _section() -> Column:
-    """``struct(off, size)``: the read's bases on the call's region, by its cigar."""
-    return C.section(col("cigar"), col("read_start"), col("call_start"), col("call_end"))
-
-
-def _bases() -> Column:
-    return F.substr("seq", _section()["off"] + 1, _section()["size"])
-
-
-def _section_quals() -> Column:
-    return F.slice("quals", _section()["off"] + 1, F.greatest(_section()["size"], F.lit(1)))
-
-
-def _from_back() -> Column:
-    """Reads that begin inside the call are compared from its end."""
-    return ~_complete() & (col("read_start") >= col("call_start"))
+def with_sections(support: DataFrame) -> DataFrame:
+    """Add what measures compare: ``sec`` and ``sec_quals``, a read's bases and qualities on the call's region by its cigar, and the
+    parts of ``sec`` and of the allele that stand against each other (from the back if the read begins inside the call)."""
+    back = ~_complete() & (col("read_start") >= col("call_start"))
+    gapless = col("gapless") if "gapless" in support.columns else None
+    x = support.withColumn("_cut", C.section(col("cigar"), col("read_start"), col("call_start"), col("call_end"), gapless=gapless, stop=col("read_end")))
+    x = x.withColumn("sec", F.substr("seq", col("_cut.off") + 1, col("_cut.size"))).withColumn("sec_quals", F.slice("quals", col("_cut.off") + 1, F.greatest("_cut.size", F.lit(1))))
+    n = F.least(F.length("sec"), F.length("allele_seq"))
+    ends = lambda c: F.when(back, F.right(col(c), n)).otherwise(F.left(col(c), n))
+    x = x.withColumn("sec_part", ends("sec")).withColumn("allele_part", ends("allele_seq"))
+    return x.withColumn("sec_skip", F.when(back, F.size("sec_quals") - F.length("sec_part")).otherwise(0)).drop("_cut")
 
 
 def _complete() -> Column:
     return R.contains(_read(), _call()) & ~R.are_adjacent(_read(), _call())
 
 
-def _common() -> Column:
-    return F.least(F.length(_bases()), F.length("allele_seq"))
-
-
-def _section_part() -> Column:
-    b, n = _bases(), _common()
-    return F.when(_from_back(), F.substr(b, F.length(b) - n + 1, n)).otherwise(F.substr(b, F.lit(1), n))
-
-
-def _allele_part() -> Column:
-    n = _common()
-    return F.when(_from_back(), F.substr("allele_seq", F.length("allele_seq") - n + 1, n)).otherwise(F.substr("allele_seq", F.lit(1), n))
-
-
 def _section_differs() -> Column:
-    return F.when(_complete(), _bases() != col("allele_seq")).otherwise(
-        (F.length(_bases()) > F.length("allele_seq")) | (_section_part() != _allele_part()))
+    return F.when(_complete(), col("sec") != col("allele_seq")).otherwise((F.length("sec") > F.length("allele_seq")) | (col("sec_part") != col("allele_part")))
 
 
 def _contained() -> Column:
@@ -194,12 +174,10 @@ def _in_tail() -> Column:
 
 def _worst_mismatch_quality() -> Column:
     """Least quality of the section's bases that differ from the allele."""
-    a, b, quals = _section_part(), _allele_part(), _section_quals()
-    n = F.length(a)
-    skip = F.when(_from_back(), F.size(quals) - n).otherwise(0)
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    hits = F.filter(at, lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1)))
-    return F.array_min(F.transform(hits, lambda i: F.get(quals, i - 1 + skip)))
+    n = F.length("sec_part")
+    at = F.when((n > 0) & (col("sec_part") != col("allele_part")), F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    hits = F.filter(at, lambda i: F.substr("sec_part", i, F.lit(1)) != F.substr("allele_part", i, F.lit(1)))
+    return F.array_min(F.transform(hits, lambda i: F.get("sec_quals", i - 1 + col("sec_skip"))))
 
 
 def _expected_errors() -> Column:
@@ -364,7 +342,7 @@ class Facets:
             return self._overlapping(calls, depth_runs(reads, ["sample", "contig"]))
         if facet == "support":
             called = self.genotypes.select("call_id", "sample", F.explode(F.array_distinct("gt")).alias("allele"))
-            return self.support.join(called, _KEYS["allele"])
+            return with_sections(self.support.join(called, _KEYS["allele"]))
         if facet == "duplicates":
             groups = self.rows("support").where("dup_group is not null").groupBy(*_KEYS["allele"], "dup_group")
             return groups.agg(F.count(F.lit(1)).alias("n_of_group"))
