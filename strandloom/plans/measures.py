@@ -89,9 +89,9 @@ prepared("median_mq", "support", "allele", lambda: F.median("mq"))
 prepared("n_forward", "support", "allele", lambda: F.count_if(~col("reverse")))
 prepared("n_reverse", "support", "allele", lambda: F.count_if(col("reverse")))
 prepared("n_supplementary", "support", "allele", lambda: F.count_if(col("supplementary")))
-prepared("non_match_bases", "support", "allele", lambda: F.sum(C.sum_non_matches(col("cigar"))))
+prepared("non_match_bases", "support", "allele", lambda: F.sum("read_non_matches"))
 prepared("support_bases", "support", "allele", lambda: F.sum(F.length("seq")))
-prepared("stdev_error", "support", "allele", lambda: F.stddev_pop(C.sum_non_matches(col("cigar")) / F.length("seq")))
+prepared("stdev_error", "support", "allele", lambda: F.stddev_pop(col("read_non_matches") / F.length("seq")))
 prepared("median_bq", "support", "allele", lambda: F.median(F.array_min("sec_quals")))
 prepared("n_left", "support", "allele", lambda: F.count_if(_spans_half() | ~_in_right_half()))
 prepared("n_right", "support", "allele", lambda: F.count_if(_spans_half() | _in_right_half()))
@@ -105,7 +105,7 @@ prepared("n_mismatched", "support", "sample", lambda: F.count_if(_section_differ
 prepared("n_base_mismatches", "support", "sample", lambda: F.sum(F.when(col("sec_part") == col("allele_part"), 0).otherwise(S.hamming(col("sec_part"), col("allele_part")))))
 prepared("base_mismatch_quals", "support", "sample", lambda: F.median(_worst_mismatch_quality()))
 prepared("n_assigned", "support", "sample", lambda: F.count(F.lit(1)))
-prepared("n_misaligned", "support", "sample", lambda: F.count_if(C.sum_non_matches(col("cigar")) > 5 * F.ceil(_expected_errors())))
+prepared("n_misaligned", "support", "sample", lambda: F.count_if((col("read_non_matches") > 0) & (col("read_non_matches") > 5 * F.ceil(_expected_errors()))))
 prepared("n_ambiguous", "ambiguous", "sample", lambda: F.count(F.lit(1)))
 prepared("median_somatic_mq", "support", "sample", lambda: F.median(F.when(col("is_somatic_allele"), col("mq"))))
 
@@ -123,7 +123,7 @@ def _call() -> R.Region:
 
 
 def with_sections(support: DataFrame) -> DataFrame:
-    """Add what measures compare: ``sec`` and ``sec_quals``, a read's bases and qualities on the call's region by its cigar, and the
+    """Add what measures compare: ``read_non_matches``, bases of a read that its cigar says differ; ``sec`` and ``sec_quals``, a read's bases and qualities on the call's region by its cigar, and the
     parts of ``sec`` and of the allele that stand against each other (from the back if the read begins inside the call)."""
     back = ~_complete() & (col("read_start") >= col("call_start"))
     gapless = col("gapless") if "gapless" in support.columns else None
@@ -132,6 +132,7 @@ def with_sections(support: DataFrame) -> DataFrame:
     n = F.least(F.length("sec"), F.length("allele_seq"))
     ends = lambda c: F.when(back, F.right(col(c), n)).otherwise(F.left(col(c), n))
     x = x.withColumn("sec_part", ends("sec")).withColumn("allele_part", ends("allele_seq"))
+    x = x.withColumn("read_non_matches", C.sum_non_matches(col("cigar")))
     return x.withColumn("sec_skip", F.when(back, F.size("sec_quals") - F.length("sec_part")).otherwise(0)).drop("_cut")
 
 
