@@ -1,9 +1,11 @@
-"""Shared plumbing: durable intermediate tables, shared files, skew-safe lookups."""
+"""Shared plumbing: durable intermediate tables, shared files, skew-safe lookups, memory of workers."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,43 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: What tasks leave in this worker process for those that follow, by operator and key: one value.
+_kept: dict[tuple[str, str], object] = {}
+
+
+def keep(owner: str, key: str, make: Callable[[], object]):
+    """What ``make`` returns, kept in this process for later tasks of the operator ``owner``; the last value only."""
+    if (owner, key) not in _kept:
+        _kept.clear()
+        _kept[owner, key] = make()
+    return _kept[owner, key]
+
+
+def forget_others(owner: str) -> None:
+    """Let go of what another operator keeps in this process."""
+    if any(name != owner for name, _ in _kept):
+        _kept.clear()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on beside the stages that follow."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def lean(owner: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``: no task of ``owner`` has another operator's data beside its own, nor leaves freed memory."""
+    def task(batches: Iterator) -> Iterator:
+        forget_others(owner)
+        yield from run(batches)
+        give_back()
+    return task
+
+
 def with_lookup(df: DataFrame, table: DataFrame, key: str, rows: int, row_bytes: int,
                 limit: int = BROADCAST_BYTES) -> DataFrame:
     """Left-join ``table`` (unique ``key``): broadcast if its counted size is in the bound, else shuffled.

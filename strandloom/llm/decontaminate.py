@@ -21,12 +21,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, without_ids
+from .common import lean, small_batches, without_ids
 
 #: Words in a tile at least, and the share of an item's words in tiles that makes a document contaminated.
 MIN_TILE, COVERAGE = 5, 0.5
 #: Words of test items whose index is broadcast at once.
 BLOCK_WORDS = 500_000
+#: Words of documents that a task remembers.
+_MEMO_WORDS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„‘’‚…–—¡¿"
 
@@ -160,7 +162,7 @@ class _Memo(dict):
     def __missing__(self, raw: str) -> int:
         w = raw.strip(_EDGE)
         out = self.vocabulary.get(w, -1) if w else -2
-        if len(self) < 2_000_000:
+        if len(self) < _MEMO_WORDS:
             self[raw] = out
         return out
 
@@ -212,7 +214,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
                                                  names=["doc_id", "item_id", "tiled_words", "item_words", "n_tiles"])
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(lean("decontaminate", run), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = rows.where("false").selectExpr("doc_id", "0L item_id", "0L tiled_words", "0L item_words", "0L n_tiles")

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import heavy_lookup, materialize, small_batches, with_lookup, without_ids
+from .common import heavy_lookup, lean, materialize, small_batches, with_lookup, without_ids
 from .components import components
 
 SEED = 42
@@ -226,7 +226,7 @@ def _linker(radius: int, similarity: float, with_sets: bool):
 def _links(places: DataFrame, radius: int, similarity: float = 0.0, with_sets: bool = False) -> DataFrame:
     small_batches(places.sparkSession, 2048)
     return (places.repartition("place").sortWithinPartitions("place")
-            .mapInArrow(_linker(radius, similarity, with_sets), "a long, b long").distinct())
+            .mapInArrow(lean("simhash", _linker(radius, similarity, with_sets)), "a long, b long").distinct())
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3) -> DataFrame:
@@ -241,7 +241,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")
-                       ).mapInArrow(run, "doc_id long, fp long")
+                       ).mapInArrow(lean("simhash", run), "doc_id long, fp long")
 
 
 def _block_masks(radius: int) -> list[int]:
@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 *[pa.array([x[i] for x in bands], pa.int64()) for i in range(BANDS)]], names=["doc_id", "uid", "fp", *(f"b{i}" for i in range(BANDS))])
 
     own = [f"b{i}" for i in range(BANDS)]
-    rows = materialize(pairs.mapInArrow(describe, "doc_id long, uid binary, fp long, " + ", ".join(f"{c} long" for c in own)), "described")
+    rows = materialize(pairs.mapInArrow(lean("simhash", describe), "doc_id long, uid binary, fp long, " + ", ".join(f"{c} long" for c in own)), "described")
     total = rows.count()
     # rows of a unit are alike, so that its values come with the aggregate, combined before the shuffle
     units = rows.groupBy("uid").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), *[F.first(c).alias(c) for c in own])
@@ -327,7 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.binary())], names=["node", "members"])
 
     marked = with_lookup(pairs, wanted, "doc_id", n_wanted, 60).where("node is not null").select("text", "uid", "node")
-    sets = materialize(marked.mapInArrow(sets_of, "node long, members binary").dropDuplicates(["node"]), "sets")
+    sets = materialize(marked.mapInArrow(lean("simhash", sets_of), "node long, members binary").dropDuplicates(["node"]), "sets")
     small_batches(spark)
     places = _route_chunks(members, total * BANDS, []).join(sets, "node")
     found = components(_links(places, radius, similarity, True))

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, new_folder, open_fs, small_batches
+from .common import keep, lean, materialize, new_folder, open_fs, small_batches
 
 MAGIC = b"DACTOK1\n"
 BLOCK = 512
@@ -51,11 +51,11 @@ class DacArray:
 
     @classmethod
     def encode(cls, values: np.ndarray) -> DacArray:
-        rest = values.astype(np.uint64)
+        rest = values if values.dtype == np.uint32 else values.astype(np.uint64)
         chunks, bitmaps, ranks = [], [], []
         while True:
-            chunks.append((rest & np.uint64(255)).astype(np.uint8))
-            rest = rest >> np.uint64(8)
+            chunks.append((rest & rest.dtype.type(255)).astype(np.uint8))
+            rest = rest >> rest.dtype.type(8)
             more = rest != 0
             bits = np.packbits(more, bitorder="little")
             bits = np.r_[bits, np.zeros(-len(bits) % (BLOCK // 8), np.uint8)]
@@ -204,20 +204,15 @@ class WordEncoder:
         return [self._ids([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def _encoder(path: str | None) -> WordEncoder:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
-    if path not in _encoders:
-        import os
+    import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return keep("token_codes", path, lambda: WordEncoder(path))
 
 
 def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folder: str | None = None,
@@ -250,11 +245,13 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def flush() -> pa.RecordBatch:
             nonlocal held, seq
             path = f"{root}/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.dac"
+            tokens = np.frombuffer(b"".join(pieces), "<u4")
+            pieces.clear()
             with fs.open_output_stream(path) as out:
-                out.write(TokenFile.dump(ids, lengths, np.frombuffer(b"".join(pieces), "<u4")))
+                out.write(TokenFile.dump(ids, lengths, tokens))
             row = {"part": [part], "seq": [seq], "path": [path], "n_docs": [len(ids)], "n_tokens": [held]}
-            for x in (ids, lengths, pieces):
-                x.clear()
+            ids.clear()
+            lengths.clear()
             held, seq = 0, seq + 1
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([
                 ("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
@@ -270,7 +267,7 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if ids:
             yield flush()
 
-    files = materialize(rows.mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long"), "manifest")
+    files = materialize(rows.mapInArrow(lean("token_codes", run), "part int, seq int, path string, n_docs long, n_tokens long"), "manifest")
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     ahead = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("part_base"))
@@ -300,7 +297,7 @@ def read_tokens(manifest: DataFrame, *, folder: str) -> DataFrame:
 
     files = manifest.select("path", "base")
     files = files.repartition(max(1, min(files.count(), READ_TASKS)), "path")
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(lean("token_codes", run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_folder, open_fs, small_batches, without_ids
+from .common import keep, lean, materialize, new_folder, open_fs, small_batches, without_ids
 
 #: Labelled rows the classifier is fitted on at most.
 SAMPLE = 12_000
@@ -93,8 +93,6 @@ class CharModel:
     Only the name of the folder travels; each worker loads the table once, 16 bytes a trigram and less for bigrams.
     """
 
-    loaded: tuple[str, tuple] | None = None  # of this process: the last folder and its tables
-
     def __init__(self, folder: str):
         self.folder, self.known = folder, {}
 
@@ -103,23 +101,23 @@ class CharModel:
 
     def tables(self) -> tuple:
         """Counts of trigrams, their contexts, bigrams, their contexts and characters, and the total."""
-        if CharModel.loaded is None or CharModel.loaded[0] != self.folder:
-            from pyarrow import fs as pafs, parquet
-
-            fs, path = open_fs(self.folder)
-            keys, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for info in fs.get_file_info(pafs.FileSelector(path)):
-                if info.base_name.endswith(".parquet") and info.base_name[0] not in "._":
-                    with fs.open_input_file(info.path) as file:
-                        part = parquet.ParquetFile(file).read()
-                    keys.append(part.column("gram").to_numpy())
-                    n.append(part.column("n").to_numpy())
-            tri = _sums(np.concatenate(keys), np.concatenate(n))
-            k, n = tri
-            uni = _sums(k & _CHAR, n)
-            CharModel.loaded = (self.folder, (tri, _sums(k >> 21, n), _sums(k & (1 << 42) - 1, n), _sums(k >> 21 & _CHAR, n),
-                                              uni, int(n.sum()) or 1))
-        return CharModel.loaded[1]
+        return keep("toxicity", self.folder, self._load)
+
+    def _load(self) -> tuple:
+        from pyarrow import fs as pafs, parquet
+
+        fs, path = open_fs(self.folder)
+        keys, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for info in fs.get_file_info(pafs.FileSelector(path)):
+            if info.base_name.endswith(".parquet") and info.base_name[0] not in "._":
+                with fs.open_input_file(info.path) as file:
+                    part = parquet.ParquetFile(file).read()
+                keys.append(part.column("gram").to_numpy())
+                n.append(part.column("n").to_numpy())
+        tri = _sums(np.concatenate(keys), np.concatenate(n))
+        k, n = tri
+        uni = _sums(k & _CHAR, n)
+        return tri, _sums(k >> 21, n), _sums(k & (1 << 42) - 1, n), _sums(k >> 21 & _CHAR, n), uni, int(n.sum()) or 1
 
     def log_p(self, a: str, b: str, c: str) -> float:
         known = self.known.get(a + b + c)
@@ -378,7 +376,7 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         spill()
         yield pa.RecordBatch.from_pydict({"gram": pa.array(list(grams), pa.int64()), "n": pa.array(list(grams.values()), pa.int64())})
 
-    counted = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "gram long, n long")
+    counted = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(lean("toxicity", run), "gram long, n long")
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -430,7 +428,7 @@ def _gather(rows: DataFrame, chars: CharModel, only: set[str] | None) -> DataFra
         f, n, c = zip(*rows_)
         yield pa.RecordBatch.from_pydict({"feature": pa.array(f, pa.string()), "docs": pa.array(n, pa.int64()), "context": pa.array(c, pa.string())})
 
-    found = rows.select("text").mapInArrow(run, "feature string, docs long, context string")
+    found = rows.select("text").mapInArrow(lean("toxicity", run), "feature string, docs long, context string")
     return found.groupBy("feature").agg(F.sum("docs").alias("docs"), F.countDistinct("context").alias("contexts"))
 
 
@@ -475,7 +473,7 @@ def _count_missed(toxic: DataFrame, model: Model) -> int:
             n += sum(not any(memo.weight(w) for w in set((t.as_py() or "").lower().split())) for t in b.column(0))
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    return toxic.select("text").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    return toxic.select("text").mapInArrow(lean("toxicity", run), "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -493,7 +491,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, score double")
+    return own.mapInArrow(lean("toxicity", run), "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample: int = SAMPLE) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from odd import ODD
-from strandloom.llm import mixing, queries, token_codes, toxicity, warc
+from strandloom.llm import decontaminate, mixing, queries, simhash, token_codes, toxicity, warc
 from test_text_ops import brute_tiles
 
 # --- WARC ---
@@ -177,6 +177,46 @@ def test_random_access(docs, tokenizer, spark):
     assert seen == want
 
 
+def test_codes_of_token_ids_take_no_wider_copy():
+    import tracemalloc
+
+    v = np.random.default_rng(1).integers(0, 49_000, 1_000_000).astype("<u4")
+    tracemalloc.start()
+    d = token_codes.DacArray.encode(v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (d.decode() == v).all() and peak < 3.5 * v.nbytes
+
+
+# --- memory of workers ---
+
+def test_a_worker_holds_the_data_of_one_operator(spark, docs, monkeypatch):
+    import weakref
+
+    import pyarrow as pa
+
+    d = docs([(1, "grumbolt tiso bara"), (2, "bara bara")])
+    bench = spark.createDataFrame([(1, "bara tiso")], "item_id long, text string")
+    tasks = []
+    monkeypatch.setattr(type(d), "mapInArrow", lambda self, run, schema, *a, **k: tasks.append(run) or spark.createDataFrame([], schema))
+    simhash.fingerprints(d)
+    decontaminate.contaminations(d, bench)
+    toxicity.score(d, toxicity.Model(toxicity.CharModel("unread"), {}, 0.0))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "text": ["bara bara"]})
+    assert len(tasks) == 3
+    for run in tasks:
+        encoder = weakref.ref(token_codes._encoder(None))
+        assert token_codes._encoder(None) is encoder()  # one for all tasks of its own operator
+        assert sum(b.num_rows for b in run(iter([batch]))) <= 1
+        assert encoder() is None
+
+
+def test_words_remembered_for_decontamination_are_bounded():
+    memo = decontaminate._Memo({"known": 0})
+    assert all(memo[f"word{i},"] == -1 for i in range(300_000))
+    assert len(memo) <= 200_000 and (memo["known."], memo["--"]) == (0, -2)
+
+
 # --- pipeline and registered queries ---
 
 def near_copies(rows):
