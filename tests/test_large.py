@@ -115,3 +115,47 @@ def test_downsampling_over_tiles(spark, tile):
         for c in cells:
             seen[c] = seen.get(c, 0) + 1
     assert got == kept | ({r[0] for r in rows} - {r[0] for r in deep})
+
+
+def test_reads_are_gathered_once_for_all_genotypes(spark):
+    """Likelihoods of reads do not become rows by genotype before they are shuffled."""
+    import math
+
+    from strandloom.plans import genotypes as G
+
+    rows = [(0, "s", f"r{i}", h, -float((i * (h + 2)) % 7)) for i in range(40) for h in range(3) if (i + h) % 11]
+    lk = spark.createDataFrame(rows, "block_id long, sample string, read_id string, haplotype_id int, ln_p double")
+    df = G.genotype_likelihoods(G.genotypes(lk, 2), lk)
+    reads = {}
+    for _, _, r, h, v in rows:
+        reads.setdefault(r, {})[h] = v
+    for row in df.collect():
+        found = [[p[h] for h in row.haplotype_ids if h in p] for p in reads.values()]
+        want = sum(math.log(sum(map(math.exp, vs)) / 2) for vs in found if vs)
+        assert row.ln_likelihood == pytest.approx(want, abs=1e-9)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    by_read = [line for line in plan.splitlines() if "Aggregate [" in line and "read_id" in line]
+    assert by_read and not any("haplotype_ids" in line for line in by_read)
+
+
+def test_odds_beyond_a_double(spark):
+    from strandloom.plans import genotypes as G
+
+    schema = "block_id long, sample string, ln_evidence double"
+    a, b = spark.createDataFrame([(0, "s", -10.0), (1, "s", -10.0), (2, "s", -720.0)], schema), spark.createDataFrame([(0, "s", -12.0), (1, "s", -900.0), (2, "s", -10.0)], schema)
+    got = {r.block_id: r.mp for r in G.model_posterior(a, b).collect()}
+    assert got[0] == pytest.approx(9.2127, abs=1e-4) and got[1] == float("inf") and got[2] == 0.0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_ties_do_not_depend_on_the_order_of_rows(spark, parts):
+    from strandloom.sources.text_formats import merge_records
+
+    rows = [("a", 5, f"{i:03}", "A", ["G"], float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows[parts:] + rows[:parts], "contig string, start_pos long, id string, ref string, alt array<string>, qual double").repartition(parts)
+    assert [r.id for r in merge_records([df, df], {"a": 0}).collect()] == ["000"]
+    flags = "unmapped reverse".split()
+    reads = spark.createDataFrame([("r", "s", "a", 10, 20 + i, "ACGT", [30, 30], [(20 + i - 10, "M")], 9, False, True) for i in (3, 0, 0, 2)],
+                                  f"name string, sample string, {REGION}, seq string, quals array<smallint>, cigar array<struct<size:int,flag:string>>, mq smallint, {', '.join(f + ' boolean' for f in flags)}")
+    reads = reads.withColumn("mate", F.lit(None).cast("struct<contig:string,begin:bigint,tlen:bigint,unmapped:boolean,reverse:boolean>")).withColumn("reverse", F.lit(False))
+    assert [r.end_pos for r in P.remove_duplicates(reads.repartition(parts), policy="aggressive").collect()] == [20]
