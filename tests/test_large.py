@@ -144,7 +144,7 @@ def test_odds_beyond_a_double(spark):
     schema = "block_id long, sample string, ln_evidence double"
     a, b = spark.createDataFrame([(0, "s", -10.0), (1, "s", -10.0), (2, "s", -720.0)], schema), spark.createDataFrame([(0, "s", -12.0), (1, "s", -900.0), (2, "s", -10.0)], schema)
     got = {r.block_id: r.mp for r in G.model_posterior(a, b).collect()}
-    assert got[0] == pytest.approx(9.2127, abs=1e-4) and got[1] == float("inf") and got[2] == 0.0
+    assert got[0] == pytest.approx(9.2371, abs=1e-4) and got[1] == float("inf") and got[2] == 0.0
 
 
 @pytest.mark.parametrize("parts", [1, 3, 8])
@@ -159,3 +159,44 @@ def test_ties_do_not_depend_on_the_order_of_rows(spark, parts):
                                   f"name string, sample string, {REGION}, seq string, quals array<smallint>, cigar array<struct<size:int,flag:string>>, mq smallint, {', '.join(f + ' boolean' for f in flags)}")
     reads = reads.withColumn("mate", F.lit(None).cast("struct<contig:string,begin:bigint,tlen:bigint,unmapped:boolean,reverse:boolean>")).withColumn("reverse", F.lit(False))
     assert [r.end_pos for r in P.remove_duplicates(reads.repartition(parts), policy="aggressive").collect()] == [20]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_reference_is_not_broadcast_by_its_statistics(spark):
+    from strandloom.sources.text_formats import fetch_sequences
+
+    ref = spark.createDataFrame([("a", 0, 0, "ACGT"), ("a", 1, 4, "TTTT")], "contig string, chunk int, chunk_start long, seq string")
+    df = fetch_sequences(spark.createDataFrame([("a", 2, 6)], REGION), ref, chunk=4)
+    assert [r.ref_seq for r in df.collect()] == ["GTTT"]
+    assert "SortMergeJoin [contig" in plan_of(df)
+
+
+def test_functions_of_every_row(spark):
+    """Distribution functions without long folds: none in the plan, and the values of the standard library."""
+    import math
+
+    from strandloom.functions import numeric as N
+    from strandloom.plans import candidates as K
+
+    xs = [-9.5, -6.0, -3.9, -1.0, -0.3, 0.0, 0.2, 0.7, 2.5, 5.0, 8.5]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", N.normal_cdf(F.col("x")).alias("p"))
+    assert "aggregate(" not in plan_of(df)
+    for r in df.collect():
+        assert r.p == pytest.approx(0.5 * math.erfc(-max(min(r.x, 9), -9) / math.sqrt(2)), rel=1e-13, abs=1e-300)
+    obs = spark.createDataFrame([(3, 10), (0, 40), (None, 5)], "n_obs int, depth int").select(K.include_somatic(F.col("depth"), min_frequency=0.05).alias("kept"))
+    assert "aggregate(" not in plan_of(obs)
+    assert [r.kept for r in obs.collect()] == [True, False, None]
+
+
+def test_costly_filters_come_last():
+    names = sorted(P.DEFAULT, key=lambda n: P.COSTLY.index(n) + 1 if n in P.COSTLY else 0)
+    assert names[0] not in P.COSTLY and names[-1] == "has_well_formed_cigar" and set(names) == set(P.DEFAULT)
+
+
+def test_templates_are_paired_once(spark, sf_dir):
+    from strandloom.plans.catalog import queries
+
+    assert plan_of(queries()["template_masks"](spark, sf_dir)).count("Window [") == 1
