@@ -200,3 +200,28 @@ def test_templates_are_paired_once(spark, sf_dir):
     from strandloom.plans.catalog import queries
 
     assert plan_of(queries()["template_masks"](spark, sf_dir)).count("Window [") == 1
+
+
+def test_concordance_of_duplicates(spark):
+    """A group of duplicates that shows one allele has 1, an even split 0, three to one what the entropy says; the least of a sample counts."""
+    import math
+
+    from strandloom.plans import measures as M
+
+    calls = spark.createDataFrame([(1, "a", 10, 11, "A", ["G"], 50.0)], f"call_id long, {REGION}, ref string, alts array<string>, qual double")
+    gts = spark.createDataFrame([(1, s, g) for s, g in (("one", [0, 1]), ("even", [0, 1]), ("most", [0, 1]), ("none", [0, 1]), ("ref", [0, 0]))], "call_id long, sample string, gt array<int>")
+    rows = [("one", 1, 7, "x"), ("one", 1, 7, "y"), ("even", 0, 7, "x"), ("even", 1, 7, "y"), ("even", 1, 8, "z"), ("most", 1, 9, "x"), ("most", 1, 9, "y"), ("most", 1, 9, "z"), ("most", 0, 9, "w"),
+            ("none", 1, None, "x"), ("ref", 0, 7, "x"), ("ref", 0, 7, "y")]
+    support = spark.createDataFrame([(1, 10, 11, s, a, "AG"[a], 5, 15, "A" * 10, [30] * 10, [(10, "M")], 60, False, False, g, n) for s, a, g, n in rows],
+                                    "call_id long, call_start long, call_end long, sample string, allele int, allele_seq string, read_start long, read_end long, seq string, quals array<smallint>, "
+                                    "cigar array<struct<size:int,flag:string>>, mq int, reverse boolean, supplementary boolean, dup_group long, name string")
+    got = {r.sample: r.DPC for r in M.evaluate(M.Facets(calls, gts, support=support), ["DPC"]).collect()}
+    entropy = -(0.75 * math.log2(0.75) + 0.25 * math.log2(0.25))
+    assert got == {"one": 1.0, "even": 0.0, "most": pytest.approx(1 - entropy), "none": None, "ref": None}
+
+
+def test_pooled_measures_pair_no_reads(spark, sf_dir):
+    from strandloom.plans.catalog import queries
+
+    plan = queries()["call_measures_pooled"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bin" not in plan
