@@ -50,7 +50,7 @@ def measure(records: DataFrame, names: list[str], *, reads: DataFrame | None = N
     if "PLN" in names:
         gts = with_phase_length(gts, calls)
     support = ambiguous = None
-    if needed & {"support", "duplicates", "ambiguous"}:
+    if needed & {"support", "duplicates", "concordance", "ambiguous"}:
         reads = with_duplicate_groups(reads)
         support, ambiguous = sequence_support(calls, reads)
     return M.evaluate(M.Facets(calls, gts, reads, reads if raw_reads is None else raw_reads, support, ambiguous), names)
@@ -77,7 +77,7 @@ def annotate(records: DataFrame, measured: DataFrame, names: list[str]) -> DataF
     return y.withColumn("samples", F.when(col("_f").isNull(), col("samples")).otherwise(samples)).drop("_i", "_f")
 
 
-def classify(records: DataFrame, measured: DataFrame, soft: str, hard: str = "", *, quality: str | None = None) -> DataFrame:
+def classify(records: DataFrame, measured: DataFrame, soft: str, hard: str = "") -> DataFrame:
     """Numbered records with ``filter``: the reasons of all samples if each of them fails a soft condition.  Records that fail a
     hard condition in all their samples go; records without a measured sample pass."""
     kinds = {f.name: isinstance(f.dataType, ArrayType) for f in measured.schema.fields}
@@ -85,9 +85,9 @@ def classify(records: DataFrame, measured: DataFrame, soft: str, hard: str = "",
     for c in X.parse(hard):
         fails = fails | c.fails(col(c.measure), kinds[c.measure])
     x = measured.withColumn("filter", X.failing_keys(measured, X.parse(soft))).withColumn("_hard", fails)
-    merged = X.merge_samples(x, quality=quality).select("call_id", F.when(col("is_filtered"), col("reasons")).otherwise(F.array().cast("array<string>")).alias("_reasons"))
-    gone = x.groupBy("call_id").agg(F.bool_and("_hard").alias("_gone"))
-    y = records.join(merged, "call_id", "left").join(gone, "call_id", "left").where(~F.coalesce("_gone", F.lit(False)))
+    reasons = F.array_sort(F.array_distinct(F.flatten(F.collect_list("filter"))))
+    merged = x.groupBy("call_id").agg(F.when(F.bool_and(F.size("filter") > 0), reasons).otherwise(F.array().cast("array<string>")).alias("_reasons"), F.bool_and("_hard").alias("_gone"))
+    y = records.join(merged, "call_id", "left").where(~F.coalesce("_gone", F.lit(False)))
     return y.withColumn("filter", F.coalesce("_reasons", F.array().cast("array<string>"))).drop("_reasons", "_gone")
 
 
@@ -97,10 +97,10 @@ def passing(records: DataFrame) -> DataFrame:
 
 
 def single_pass(records: DataFrame, soft: str, hard: str = "", annotations: list[str] = (), **inputs) -> DataFrame:
-    """Measure, annotate and classify in one plan over the records."""
-    x = with_call_id(records)
+    """Measure, annotate and classify; records and measures are stages, since several joins read them and parsing is most of the work."""
+    x = cut(with_call_id(records))
     names = list(dict.fromkeys([*X.required_measures(soft, hard), *annotations]))
-    measured = measure(x, names, **inputs)
+    measured = cut(measure(x, names, **inputs))
     out = classify(x, measured, soft, hard)
     if annotations:
         out = annotate(out, measured, list(annotations))
